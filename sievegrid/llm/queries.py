@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sievegrid.llm import simhash
+from sievegrid.llm import language, simhash
 
 QUERIES = {
+    "op9_language_id": language.query,
     "op3_simhash_near_dedup": simhash.query,
 }
 
