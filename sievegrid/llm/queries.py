@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from sievegrid.llm import language, simhash
+from sievegrid.llm import language, quality, simhash, toxicity
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
+    "op2_toxicity": toxicity.query,
     "op9_language_id": language.query,
     "op3_simhash_near_dedup": simhash.query,
 }
