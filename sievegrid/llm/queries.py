@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sievegrid.llm import language, quality, simhash, toxicity
+from sievegrid.llm import language, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
     "op2_toxicity": toxicity.query,
+    "op5_sharding": sharding.query,
     "op9_language_id": language.query,
     "op3_simhash_near_dedup": simhash.query,
 }
