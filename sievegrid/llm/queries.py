@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from sievegrid.llm import language, quality, sharding, simhash, toxicity
+from sievegrid.llm import language, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
     "op2_toxicity": toxicity.query,
     "op5_sharding": sharding.query,
+    "op6_mixing": mixing.query,
     "op9_language_id": language.query,
     "op3_simhash_near_dedup": simhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": mixing.ORACLE_SQL,
+}
