@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sievegrid.llm import language, mixing, quality, sharding, simhash, toxicity
+from sievegrid.llm import decontamination, language, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
     "op2_toxicity": toxicity.query,
+    "op4_decontamination": decontamination.query,
     "op5_sharding": sharding.query,
     "op6_mixing": mixing.query,
     "op9_language_id": language.query,
