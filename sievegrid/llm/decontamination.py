@@ -31,7 +31,9 @@ from sievegrid.llm.common import table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
-BLOCK = 16
+BLOCK = 2
+#: Sums held at once while a text is searched.
+MOST_SUMS = 1 << 21
 FIVE = 5
 OVERLAP = 0.8
 PART_OVERLAP = 0.5
@@ -107,6 +109,27 @@ class Index:
             "blocks": (len(members) + BLOCK - 1) // BLOCK,
         }
 
+    def _survivors(self, c: dict, cell: np.ndarray, t: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(cell, block) where the block maxima of the words of this cell and the next reach what is needed.
+
+        cell is sorted. Long texts go by ranges of cells, so that the table of sums stays small.
+        """
+        nb = c["blocks"]
+        step = max(1, MOST_SUMS // nb)
+        for low in range(int(cell[0]), int(cell[-1]) + 1, step):
+            here = slice(*np.searchsorted(cell, (low, low + step + 1)))
+            part, count = t[here], c["count"][t[here]]
+            if not len(part):
+                continue
+            at = np.repeat(c["start"][part] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+            rows = step + 1 if int(cell[-1]) >= low + step else int(cell[-1]) - low + 1
+            key = np.repeat(cell[here] - low, count) * nb + c["block"][at]
+            sums = np.bincount(key, weights=c["top"][at], minlength=rows * nb).reshape(rows, nb)
+            pair = sums[: min(step, rows)].copy()
+            pair[: rows - 1] += sums[1 : len(pair) + 1]
+            for first, block in zip(*np.nonzero(pair >= c["need"]), strict=True):
+                yield low + int(first), int(block)
+
     def search(self, text: str | None) -> list[tuple[int, float, float, bool]]:
         """(item, BM25 score, shingle overlap, verified) of each item that some passage retrieves."""
         found: dict[int, tuple[float, float, bool]] = {}
@@ -117,21 +140,16 @@ class Index:
         terms = ids[known]
         for c in self.classes:
             use = c["essential"][terms]
-            t, cell = terms[use], known[use] // c["length"]
-            if not len(t):
+            if not use.any():
                 continue
-            count = c["count"][t]
-            at = np.repeat(c["start"][t] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-            cells, nb = int(cell[-1]) + 1, c["blocks"]
-            sums = np.bincount(np.repeat(cell, count) * nb + c["block"][at], weights=c["top"][at], minlength=cells * nb).reshape(cells, nb)
-            pair = sums.copy()
-            pair[:-1] += sums[1:]
-            for first, block in zip(*np.nonzero(pair >= c["need"]), strict=True):
-                low, high = int(first) * c["length"], (int(first) + 2) * c["length"]
+            # a word counts once in a cell
+            cell, t = np.divmod(np.unique(known[use] // c["length"] * len(self.ids) + terms[use]), len(self.ids))
+            for first, block in self._survivors(c, cell, t):
+                low, high = first * c["length"], (first + 2) * c["length"]
                 passage = ids[low:high].tolist()
                 present = set(passage)
                 grams = None
-                for j in range(int(block) * BLOCK, min((int(block) + 1) * BLOCK, len(c["members"]))):
+                for j in range(block * BLOCK, min((block + 1) * BLOCK, len(c["members"]))):
                     score = sum(x for t, x in c["weight"][j].items() if t in present)
                     if score < THRESHOLD:
                         continue
