@@ -30,6 +30,8 @@ BUDGET_PERCENT = 60
 #: Production weights; a child that is not named weighs 1.
 DOMAIN_WEIGHTS = {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}
 LANG_WEIGHTS = {"en": 5, "de": 3, "fr": 2}
+#: Per-leaf figures of more leaves than this are not broadcast but joined by shuffle.
+BROADCAST_LEAVES = 20_000
 WORD = r"[^ \t\n\r\f\x0B]+"
 
 
@@ -84,18 +86,19 @@ def cuts(docs: DataFrame, path: list[str], weights: dict[str, Column], percent:
     """
     leaves = docs.groupBy(*path).agg(F.sum("tokens").alias("tokens")).withColumn("supply", F.col("tokens") * epochs)
     leaves = materialize(leaves)
-    total = leaves.agg(F.sum("tokens")).first()[0] or 0
+    n, total = leaves.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    small = F.broadcast if n <= BROADCAST_LEAVES else (lambda df: df)
     plan = materialize(
         leaf_budgets(leaves, path, weights, total * percent // 100)
         .where("tokens > 0 and budget > 0")
         .select(*path, F.expr("budget div tokens").alias("_whole"), F.expr("budget % tokens").alias("_rest"))
     )
-    keyed = docs.join(plan.select(*path, "_whole"), path).withColumn("_key", _keyed(docs, path, seed))
+    keyed = docs.join(small(plan.select(*path, "_whole")), path).withColumn("_key", _keyed(docs, path, seed))
     ends = plan.where("_rest > 0").select(*path, F.col("_rest").alias("_left"), F.lit("").alias("_prefix"))
     for digits in (2, 4):
         prefix = F.substring("_key", 1, digits - 2)
         sums = (
-            keyed.join(ends, path)
+            keyed.join(small(ends), path)
             .where(prefix == F.col("_prefix"))
             .groupBy(*path, "_left", F.substring("_key", 1, digits).alias("_digits"))
             .agg(F.sum("tokens").alias("_n"))
@@ -108,7 +111,7 @@ def cuts(docs: DataFrame, path: list[str], weights: dict[str, Column], percent:
         )
     through = Window.partitionBy(*path).orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)
     last = (
-        keyed.join(ends, path)
+        keyed.join(small(ends), path)
         .where(F.substring("_key", 1, 4) == F.col("_prefix"))
         .withColumn("_through", F.sum("tokens").over(through))
         .where("_through <= _left")
@@ -116,7 +119,8 @@ def cuts(docs: DataFrame, path: list[str], weights: dict[str, Column], percent:
         .agg(F.max("_key").alias("_last"))
     )
     found = ends.join(last, path, "left").select(*path, F.coalesce("_last", "_prefix").alias("_cut"))
-    return plan.select(*path, "_whole").join(found, path, "left").withColumn("_cut", F.coalesce("_cut", F.lit("")))
+    out = plan.select(*path, "_whole").join(found, path, "left").withColumn("_cut", F.coalesce("_cut", F.lit("")))
+    return small(materialize(out))
 
 
 def take(docs: DataFrame, ends: DataFrame, path: list[str], seed: int = SEED) -> DataFrame:
@@ -139,7 +143,7 @@ def mix(docs: DataFrame, path: list[str], weights: dict[str, Column], percent: i
     a null id counts as the empty text. A leaf without tokens, or with a budget of zero,
     gives no rows. An empty table gives no rows.
     """
-    return take(docs, materialize(cuts(docs, path, weights, percent, epochs, seed)), path, seed)
+    return take(docs, cuts(docs, path, weights, percent, epochs, seed), path, seed)
 
 
 def tree(docs: DataFrame) -> DataFrame:
