@@ -105,7 +105,7 @@ def shard_rows(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
     total = nodes.count()
     quota = np.array([total // shards + (s < total % shards) for s in range(shards)])
     buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, total // ROWS_PER_BUCKET)))
-    groups = nodes.where("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("link")
+    groups = materialize(nodes.where("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("link"))
     linked = propagate(nodes.join(groups, "link", "left_semi"), shards, quota.astype(float), rounds)
     placed = _ranked(linked, ["shard"], buckets, "slot")
     full = F.element_at(F.array(*[F.lit(int(q)) for q in quota]), F.col("shard") + 1)
