@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievegrid.llm import decontamination, html_text, language, mixing, quality, sharding, simhash, toxicity
+from sievegrid.llm import decontamination, html_text, language, mixing, quality, sharding, simhash, toxicity, vectors
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontamination": decontamination.query,
     "op5_sharding": sharding.query,
     "op6_mixing": mixing.query,
+    "op7_embedding_near_dedup": vectors.query,
     "op9_language_id": language.query,
     "op10_html_extraction": html_text.query,
     "op3_simhash_near_dedup": simhash.query,
