@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievegrid.llm import decontamination, html_text, language, mixing, quality, sharding, simhash, toxicity, vectors
+from sievegrid.llm import decontamination, html_text, language, mixing, quality, sharding, simhash, suffixes, toxicity, vectors
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sharding": sharding.query,
     "op6_mixing": mixing.query,
     "op7_embedding_near_dedup": vectors.query,
+    "op8_suffix_dedup": suffixes.query,
     "op9_language_id": language.query,
     "op10_html_extraction": html_text.query,
     "op3_simhash_near_dedup": simhash.query,
