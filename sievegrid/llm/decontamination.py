@@ -179,6 +179,23 @@ def indexes(benchmark: DataFrame, most_bytes: int = INDEX_BYTES) -> Iterator[Ind
 _HIT = StructType([StructField("item_id", LongType()), StructField("bm25", DoubleType()), StructField("overlap", DoubleType()), StructField("verified", BooleanType())])
 
 
+def _hits(shared):
+    @F.pandas_udf(ArrayType(_HIT))
+    def hits(texts: pd.Series) -> pd.Series:
+        fields = _HIT.names
+        return pd.Series([[dict(zip(fields, h, strict=True)) for h in shared.value.search(t) if h[3]] for t in texts])
+
+    return hits
+
+
+def _clean(shared):
+    @F.pandas_udf(BooleanType())
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not any(h[3] for h in shared.value.search(t)) for t in texts], dtype=bool)
+
+    return clean
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, bm25, overlap) of each document row and test item that it contains.
 
@@ -188,13 +205,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     found = None
     for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf(ArrayType(_HIT))
-        def hits(texts: pd.Series, shared=shared) -> pd.Series:
-            fields = _HIT.names
-            return pd.Series([[dict(zip(fields, h, strict=True)) for h in shared.value.search(t) if h[3]] for t in texts])
-
+        hits = _hits(docs.sparkSession.sparkContext.broadcast(index))
         part = docs.select("doc_id", F.explode(hits("text")).alias("h")).select("doc_id", "h.item_id", "h.bm25", "h.overlap")
         found = part if found is None else found.unionAll(part)
     return found
@@ -203,13 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that contain a test item."""
     for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf(BooleanType())
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not any(h[3] for h in shared.value.search(t)) for t in texts], dtype=bool)
-
-        docs = docs.where(clean("text"))
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(index))("text"))
     return docs
 
 
