@@ -71,9 +71,11 @@ def propagate(linked: DataFrame, shards: int, capacity: np.ndarray, rounds: int
         counts = state.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
         order = F.struct(-F.col("n"), F.xxhash64(F.lit(7), "link", "shard"), "shard")
         hubs = counts.groupBy("link").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(order)).alias("by"))
+        # written, so that the join below has an exchange of its own, which can be split for a hot link
         hubs = hubs.select(
             "link", "total", F.transform(F.slice("by", 1, F.ceil(F.col("total") / cap).cast("int")), lambda x: x["shard"]).alias("best")
         )
+        hubs = materialize(hubs)
         aim = F.when(F.array_contains("best", F.col("shard")), F.col("shard")).otherwise(
             F.element_at("best", (F.pmod(F.xxhash64(F.lit(9), "doc_id", "link"), F.size("best")) + 1).cast("int"))
         )
