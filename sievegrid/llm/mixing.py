@@ -123,16 +123,16 @@ def cuts(docs: DataFrame, path: list[str], weights: dict[str, Column], percent:
     return small(materialize(out))
 
 
-def take(docs: DataFrame, ends: DataFrame, path: list[str], seed: int = SEED) -> DataFrame:
-    """docs (doc_id, path..., more) -> the rows that cuts() chose, with `epoch` from 0, once per epoch."""
+def take(docs: DataFrame, ends: DataFrame, path: list[str], seed: int = SEED, column: str = "epoch") -> DataFrame:
+    """docs (doc_id, path..., more) -> the rows that cuts() chose, with the epoch from 0, once per epoch."""
     partly = _keyed(docs, path, seed) <= F.col("_cut")
     taken = F.when(partly, F.col("_whole")).otherwise(F.col("_whole") - 1).cast("int")
     return (
         docs.join(ends, path)
         .withColumn("_last", taken)
         .where("_last >= 0")
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-        .select(*docs.columns, "epoch")
+        .withColumn(column, F.explode(F.sequence(F.lit(0), F.col("_last"))))
+        .select(*docs.columns, column)
     )
 
 
@@ -146,19 +146,37 @@ def mix(docs: DataFrame, path: list[str], weights: dict[str, Column], percent: i
     return take(docs, cuts(docs, path, weights, percent, epochs, seed), path, seed)
 
 
-def tree(docs: DataFrame) -> DataFrame:
-    """docs with the columns of PATH (null: '') and tokens, words between white space."""
+def _path() -> list[Column]:
+    """The tree's columns, for PATH, of documents with lang and source."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), r"([0-9]+)$", 1)
     domain = F.when(number == "", F.lit("other")).otherwise(F.concat(F.lit("domain"), (F.substring(number, -1, 1).cast("int") % 4).cast("string")))
+    return [domain, F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))]
+
+
+def tree(docs: DataFrame) -> DataFrame:
+    """docs with the columns of PATH (null: '') and tokens, words between white space."""
     return docs.select(
         "doc_id",
-        domain.alias("domain"),
-        F.coalesce("lang", F.lit("")).alias("lang"),
-        F.coalesce("source", F.lit("")).alias("source"),
+        *[c.alias(p) for c, p in zip(_path(), PATH, strict=True)],
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
     )
 
 
+def mix_documents(docs: DataFrame, percent: int = BUDGET_PERCENT) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, source, more) that mix() chooses, once per epoch, as they are.
+
+    Texts are counted once and are in no shuffle: the second pass compares keys only.
+    """
+    slim = materialize(tree(docs))
+    ends = cuts(slim, list(PATH), weights(), percent)
+    names = [f"_tree_{p}" for p in PATH]
+    placed = docs.select("*", *[c.alias(n) for c, n in zip(_path(), names, strict=True)])
+    renamed = ends
+    for p, n in zip(PATH, names, strict=True):
+        renamed = renamed.withColumnRenamed(p, n)
+    return take(placed, renamed, names, column="_tree_epoch").select(docs.columns)
+
+
 def weights() -> dict[str, Column]:
     return {"domain": weight_of("domain", DOMAIN_WEIGHTS), "lang": weight_of("lang", LANG_WEIGHTS), "source": F.lit(1).cast("long")}
 
