@@ -41,6 +41,8 @@ MEMBERS, QUERIES = 4000, 20_000
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 48
 AUDIT, AUDIT_RECALL = 24, 0.99
 _BLOCK = 512
+#: Pairs of a query and a neighbour looked at together while ranges grow.
+_PAIRS = 1 << 20
 
 
 def centroids(x: np.ndarray, k: int, seed: int = 7, rounds: int = 4) -> np.ndarray:
@@ -154,18 +156,23 @@ def range_search(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, radius:
         top = np.argpartition(-all_value, beam - 1, axis=1)[:, :beam]
         value[q], pool[q], done[q] = (np.take_along_axis(v, top, 1) for v in (all_value, all_pool, all_done))
     wide = radius - SLACK
-    grown = np.nonzero(cos >= wide)
-    while len(grown[0]):
-        near = graph[grown[1]]
-        key = np.unique((grown[0][:, None] * n + near)[near >= 0])
-        qa, nb = key // n, key % n
-        fresh = ~seen[qa, nb]
-        qa, nb = qa[fresh], nb[fresh]
-        seen[qa, nb] = True
-        c = np.einsum("pd,pd->p", queries[qa], x[nb])
-        cos[qa, nb] = c
-        keep = c >= wide
-        grown = qa[keep], nb[keep]
+    step = max(1, _PAIRS // graph.shape[1])
+    grown = np.flatnonzero(cos.ravel() >= wide)
+    while len(grown):
+        more = []
+        for at in range(0, len(grown), step):
+            part = grown[at : at + step]
+            near = graph[part % n]
+            key = np.unique(((part // n)[:, None] * n + near)[near >= 0])
+            key = key[~seen.ravel()[key]]
+            seen.ravel()[key] = True
+            c = np.empty(len(key))
+            for low in range(0, len(key), _PAIRS // 16):
+                of = key[low : low + _PAIRS // 16]
+                c[low : low + _PAIRS // 16] = np.einsum("pd,pd->p", queries[of // n], x[of % n])
+            cos.ravel()[key] = c
+            more.append(key[c >= wide])
+        grown = np.concatenate(more)
     return cos >= radius
 
 
