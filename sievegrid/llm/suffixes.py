@@ -168,15 +168,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     around = F.when(F.col("around") == 0, F.xxhash64("key", "at")).otherwise(F.col("around"))
     candidates = materialize(kept.join(shared, "h").select("key", "at", "h", around.alias("around")))
     classes = materialize(
-        candidates.groupBy("h", "around").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.min(F.struct("key", "at")).alias("first"))
+        candidates.groupBy("h", "around").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.min(F.struct("key", "at")).alias("first"), F.max(F.struct("key", "at")).alias("last"))
     )
     open_ = classes.where("a = z").select("h").distinct()
     inside = candidates.join(classes.where("a != z").select("h", "around"), ["h", "around"]).select(
         "key", (F.col("at") - (LEAST - PREFIX)).alias("start"), (F.col("at") + LEAST).alias("end")
     )
     single = candidates.join(classes.where("a = z").select("h", "around"), ["h", "around"]).select("key", "at")
-    speaker = classes.where("a != z").join(open_, "h", "left_semi").select("first.key", "first.at")
-    places = single.unionAll(speaker).groupBy("key").agg(F.collect_list("at").alias("places"))
+    # of a class with equal surroundings two documents say all there is to compare
+    speakers = classes.where("a != z").join(open_, "h", "left_semi").select(F.explode(F.array("first", "last")).alias("x")).select("x.key", "x.at")
+    places = single.unionAll(speakers).groupBy("key").agg(F.collect_list("at").alias("places"))
     texts = docs.select("key", "text")
     passages = materialize(
         texts.join(places, "key").mapInPandas(_passages, "key long, start int, passage long")
