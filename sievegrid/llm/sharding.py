@@ -66,7 +66,7 @@ def allowed_moves(wanted: np.ndarray, held: np.ndarray, capacity: np.ndarray) ->
 def propagate(linked: DataFrame, shards: int, capacity: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
     """linked (doc_id, link, ...) with a column shard. The driver sees counts per pair of shards only."""
     state = materialize(linked.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "doc_id", "link"), F.lit(shards)).cast("int")))
-    cap = float(capacity.min())
+    cap = max(1.0, float(capacity.min()))
     for r in range(rounds):
         counts = state.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
         order = F.struct(-F.col("n"), F.xxhash64(F.lit(7), "link", "shard"), "shard")
