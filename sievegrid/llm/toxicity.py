@@ -31,7 +31,7 @@ MODULUS, REMAINDER = 4, 2
 #: Bounds of the fitted model: labelled rows sampled, terms kept.
 SAMPLE = 12_000
 TERMS = 20_000
-PRIOR = 2000.0
+PRIOR, PRIOR_SHARE = 2000.0, 0.01
 ERRORS = 2.0
 MARGIN = 0.75
 LOSS = 0.35
@@ -52,7 +52,10 @@ def terms(word: str) -> list[str]:
 
 
 def log_odds(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float, prior: float = PRIOR) -> np.ndarray:
-    """Log-odds ratios of token counts; the prior spreads `prior` tokens a side at the pooled rates."""
+    """Log-odds ratios of token counts; the prior spreads `prior` tokens a side at the pooled rates.
+
+    The sample decides how many: PRIOR, or PRIOR_SHARE of its tokens if that is less.
+    """
     pooled = (toxic + other) / max(n_toxic + n_other, 1)
     a, b = toxic + prior * pooled, other + prior * pooled
     return np.log(a / (n_toxic + prior - a)) - np.log(b / (n_other + prior - b))
@@ -191,9 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     whole = counts.where("term = ''").select("toxic", "other").first()
     n_toxic, n_other = (float(whole[0]), float(whole[1])) if whole else (0.0, 0.0)
     # log_odds() in the engine, so that only terms that score leave it
+    prior = min(PRIOR, PRIOR_SHARE * (n_toxic + n_other))
     pooled = (F.col("toxic") + F.col("other")) / max(n_toxic + n_other, 1.0)
-    a, b = F.col("toxic") + PRIOR * pooled, F.col("other") + PRIOR * pooled
-    delta = F.log(a / (n_toxic + PRIOR - a)) - F.log(b / (n_other + PRIOR - b))
+    a, b = F.col("toxic") + prior * pooled, F.col("other") + prior * pooled
+    delta = F.log(a / (n_toxic + prior - a)) - F.log(b / (n_other + prior - b))
     error = F.sqrt(1 / (F.col("toxic_docs") + 0.5) + 1 / (F.col("other_docs") + 0.5))
     needed = float(np.log(max(n.get(0, 0), 1) / max(n.get(1, 0), 1))) + MARGIN
     best = (
