@@ -128,14 +128,15 @@ def _passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All passages of LEAST words that contain the prefix of one of the given suffixes."""
     read = Reader()
     for f in frames:
+        rows = []
         for key, text, places in zip(f["key"], f["text"], f["places"], strict=True):
             words = read(text)
             places = np.unique(np.asarray(places, np.int64))
             start = np.unique((places[:, None] - np.arange(LEAST - PREFIX + 1)).ravel())
             start = start[(start >= 0) & (start + LEAST <= len(words))]
             if len(start):
-                h = _Grams(words).of(LEAST, start)
-                yield pd.DataFrame({"key": key, "start": start.astype(np.int32), "passage": h.view(np.int64)})
+                rows.append((key, start.astype(np.int32), _Grams(words).of(LEAST, start).view(np.int64)))
+        yield pd.DataFrame(rows, columns=["key", "start", "passage"])
 
 
 _SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -179,9 +180,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     speakers = classes.where("a != z").join(open_, "h", "left_semi").select(F.explode(F.array("first", "last")).alias("x")).select("x.key", "x.at")
     places = single.unionAll(speakers).groupBy("key").agg(F.collect_list("at").alias("places"))
     texts = docs.select("key", "text")
-    passages = materialize(
-        texts.join(places, "key").mapInPandas(_passages, "key long, start int, passage long")
-    )
+    packed = materialize(texts.join(places, "key").mapInPandas(_passages, "key long, start array<int>, passage array<long>"))
+    passages = packed.select("key", F.explode(F.arrays_zip("start", "passage")).alias("x")).select("key", "x.start", "x.passage")
     common = passages.groupBy("passage").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").select("passage")
     edges = passages.join(common, "passage").select("key", "start", (F.col("start") + LEAST).alias("end"))
     merge = F.pandas_udf(_merged, _SPANS)
