@@ -165,7 +165,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     arrays = docs.select("key", "text").mapInPandas(_kept, "key long, at array<int>, h array<long>, around array<long>")
     packed = materialize(arrays)
     kept = packed.select("key", F.explode(F.arrays_zip("at", "h", "around")).alias("x")).select("key", "x.at", "x.h", "x.around")
-    shared = kept.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").select("h")
+    # written, so that the join has an exchange of its own, which can be split where many share a prefix
+    shared = materialize(kept.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").select("h"))
     around = F.when(F.col("around") == 0, F.xxhash64("key", "at")).otherwise(F.col("around"))
     candidates = materialize(kept.join(shared, "h").select("key", "at", "h", around.alias("around")))
     classes = materialize(
@@ -182,7 +183,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = docs.select("key", "text")
     packed = materialize(texts.join(places, "key").mapInPandas(_passages, "key long, start array<int>, passage array<long>"))
     passages = packed.select("key", F.explode(F.arrays_zip("start", "passage")).alias("x")).select("key", "x.start", "x.passage")
-    common = passages.groupBy("passage").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").select("passage")
+    common = materialize(passages.groupBy("passage").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").select("passage"))
     edges = passages.join(common, "passage").select("key", "start", (F.col("start") + LEAST).alias("end"))
     merge = F.pandas_udf(_merged, _SPANS)
     spans = inside.unionAll(edges).groupBy("key").agg(F.collect_list("start").alias("s"), F.collect_list("end").alias("e"))
