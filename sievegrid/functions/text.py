@@ -11,6 +11,9 @@ SCRIPT_EXTENSIONS = (
     "war", "jar", "exe", "dll", "sh", "bat", "cmd", "ps1", "cgi", "pl",
 )
 SAFE_EXTENSIONS = ("step", "stp", "stl", "obj", "dxf", "dwg", "igs", "iges", "glb", "gltf", "fbx", "skp", "sldprt", "sldasm")
+SENSITIVE_HEADERS = (
+    "authorization", "cookie", "set-cookie", "x-auth-token", "x-csrf-token", "csrf-token", "x-xsrf-token", "token", "proxy-authorization",
+)
 CONFIRMED, LIKELY, FAILED, UNKNOWN = "confirmed_upload_success", "likely_upload_success", "failed", "unknown"
 VERDICTS = (CONFIRMED, LIKELY, FAILED, UNKNOWN)
 
@@ -95,11 +98,10 @@ def normalize_gold(x) -> Column:
 
 def redact_headers(headers) -> Column:
     """A header map with the values of sensitive names, and of names with token or secret, hidden."""
-    sensitive = ("authorization", "cookie", "set-cookie", "proxy-authorization", "x-api-key", "x-auth-token")
     return F.transform_values(
         _c(headers),
         lambda k, v: F.when(
-            F.lower(k).isin(*sensitive) | F.contains(F.lower(k), F.lit("token")) | F.contains(F.lower(k), F.lit("secret")), F.lit("<redacted>")
+            F.lower(k).isin(*SENSITIVE_HEADERS) | F.contains(F.lower(k), F.lit("token")) | F.contains(F.lower(k), F.lit("secret")), F.lit("<redacted>")
         ).otherwise(v.cast("string")),
     )
 
