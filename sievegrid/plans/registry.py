@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import fingerprints as fp
 from sievegrid.functions import text as tx
-from sievegrid.operators import decisions, dedup, leakage, merging, metrics, prepare, splitting
+from sievegrid.operators import decisions, dedup, evidence, leakage, merging, metrics, prepare, splitting
 from sievegrid.plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -488,5 +488,17 @@ def parity_mismatches(spark, sf):
     return decisions.mismatches(one, other, "event_id")
 
 
+@query("upload_features")
+def upload_features(spark, sf):
+    f = evidence.with_features(views.responses(spark, sf))
+    return f.select("event_id", "f.success_fields", "f.fail_fields", "f.paths", "f.file_ids", "f.resource_score", "f.success_strength", "f.evidence_grade", "f.strong_failure", evidence.numeric_features().alias("numbers"))
+
+
+@query("judged_uploads")
+def judged_uploads(spark, sf):
+    ruled = evidence.with_rule(evidence.with_features(views.responses(spark, sf)))
+    return evidence.judge(ruled).select("event_id", "verdict", "confidence", "p_success", "decided_by", "evidence", "negative_evidence")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup_counts(spark, sf_dir)

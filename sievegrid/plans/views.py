@@ -125,3 +125,25 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(5, "success", "failed", "likely_upload_success", "failure", "unknown").alias("label"),
         F.when(m < 3, CONFIRMED).when(m < 5, FAILED).otherwise(UNKNOWN).alias("predicted"),
     )
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole upload events: the pages as HTML answers, and JSON answers composed from the events."""
+    e = F.col("event_id")
+    variants = [
+        F.concat(F.lit('{"success":true,"url":"/uploads/'), e.cast("string"), F.lit('.php"}')), F.lit('{"success":false,"message":"文件上传失败"}'),
+        F.concat(F.lit('{"code":0,"fileId":"'), e.cast("string"), F.lit('"}')), F.concat(F.lit('{"status":"'), F.col("event_type"), F.lit('"}')),
+        F.lit('{"data":{"success":false},"success":true}'), F.concat(F.lit("props "), F.coalesce("props", F.lit(""))),
+    ]
+    none = F.lit(None).cast("map<string,string>")
+    json = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("e"), e.cast("string")).alias("event_id"), F.lit("POST").alias("method"), F.lit("/api/upload").alias("uri"),
+        F.concat(e.cast("string"), F.lit(".php")).alias("filename"), F.lit("php").alias("file_ext"), F.lit("file").alias("field_name"), F.lit("").alias("request_body"),
+        F.lit(200).alias("status_code"), none.alias("headers"), F.lit("application/json").alias("content_type"),
+        F.element_at(F.array(*variants), (e % len(variants) + 1).cast("int")).alias("body"), (e * 37 % 101 / F.lit(100.0)).alias("p_success"),
+    )
+    pages = uploads(spark, sf_dir).select(
+        F.concat(F.lit("p"), F.col("event_id")).alias("event_id"), "method", "uri", F.concat(F.lit("file."), F.col("file_ext")).alias("filename"), "file_ext",
+        F.lit("file").alias("field_name"), F.lit("").alias("request_body"), "status_code", none.alias("headers"), "content_type", "body", F.lit(0.7).alias("p_success"),
+    )
+    return json.unionByName(pages)
