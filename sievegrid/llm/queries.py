@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": mixing.ORACLE_SQL,
+    "op8_suffix_dedup": suffixes.ORACLE_SQL,
 }

@@ -194,3 +194,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = f"""
+with docs as (
+  select distinct doc_id, text, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') as words from documents where text is not null),
+keyed as (select doc_id, words, row_number() over () as key from docs),
+windows as (
+  select doc_id, key, start, md5(array_to_string(words[start + 1:start + {LEAST}], ' ')) as passage
+  from (select doc_id, key, words, unnest(range(len(words) - {LEAST - 1})) as start from keyed where len(words) >= {LEAST})),
+shared as (select passage from windows group by passage having min(key) <> max(key)),
+marked as (select doc_id, key, start, start - lag(start) over (partition by key order by start) as gap from windows semi join shared using (passage)),
+runs as (select doc_id, key, start, sum(case when gap is null or gap > {LEAST} then 1 else 0 end) over (partition by key order by start) as run from marked)
+select doc_id, min(start)::int as start, (max(start) + {LEAST})::int as "end", (max(start) + {LEAST} - min(start))::int as n_words from runs group by doc_id, key, run
+"""

@@ -562,3 +562,73 @@ def test_pages_hard_rows(spark, page_model):
     assert len(out) == len(broken) and all(r["n_chars"] == len(r["text"]) for r in out.values())
     assert out[0]["text"] == out[1]["text"] == out[2]["text"] == ""
     assert html_text.extract(frame.limit(0), page_model).count() == 0
+
+
+# --- Registered queries
+
+
+@pytest.mark.parametrize("name", ["op6_mixing", "op8_suffix_dedup"])
+def test_oracles(spark, name):
+    import duckdb
+
+    from sievegrid.llm import queries
+
+    db = duckdb.connect()
+    db.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want, got = db.sql(queries.ORACLE_SQL[name]).df(), queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns)
+    plain = lambda d: sorted(map(tuple, d[columns].astype(str).values.tolist()))
+    assert plain(want) == plain(got)
+
+
+CONTRACTS = {
+    "op1_": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op2_": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op3_": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op5_": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op7_": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op9_": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op10_": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+}
+
+
+@pytest.mark.parametrize("prefix", list(CONTRACTS))
+def test_contracts(spark, prefix):
+    from sievegrid.llm import queries
+
+    name = next(n for n in queries.QUERIES if n.startswith(prefix))
+    out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    kinds = dict(out.dtypes)
+    assert all(kinds[c] == k for c, k in CONTRACTS[prefix].items())
+    rows = out.toPandas()
+    source = "embeddings" if prefix == "op7_" else "pages" if prefix == "op10_" else "documents"
+    assert len(rows) == spark.read.parquet(f"/root/testdata/sf0.001/{source}.parquet").count()
+    if "held_out" in rows:
+        rule = (lambda i: zlib.crc32(str(i).encode()) % 5 == 0) if prefix == "op1_" else (lambda i: zlib.crc32(str(i).encode()) % 4 == 2)
+        assert [rule(i) for i in rows["doc_id"]] == rows["held_out"].tolist()
+        assert rows["score"].between(0, 1).all()
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "decontamination", "mixing", "sharding"]
+    sf = "/root/testdata/sf0.001"
+    docs = first = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = [docs.count()]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        if name != "sharding":
+            assert out.dtypes == first.dtypes
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        seen.append(docs.count())
+    assert seen[0] >= seen[1] > seen[2] and seen[3] > 0 and seen[4] == seen[5]
+    kept = spark.read.parquet(str(tmp_path / "1"))
+    marks = {r["doc_id"]: r["text"] for r in kept.collect()}
+    alone = {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "2")).collect()}
+    texts = {}
+    for i, t in marks.items():
+        texts.setdefault(t, []).append(i)
+    assert all(sum(i in alone for i in ids) <= 1 for ids in texts.values())
