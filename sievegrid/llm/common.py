@@ -1,37 +1,17 @@
-"""What several pipeline operators share: table access, checkpoints and connected components."""
+"""What several pipeline operators share: table access, held-out rows, samples and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievegrid.session import materialize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; a folder of our own only on a local master."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sievegrid-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def held_out(doc_id, modulus: int, remainder: int):
     """True where crc32 of the id as text leaves this remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
