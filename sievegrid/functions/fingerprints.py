@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sievegrid.functions.text import _c, collapse_space, normalize_uri, text_or_empty
 
@@ -34,6 +38,16 @@ def text_exact(text) -> Column:
     return stable_hash(F.concat(F.lit('{"features":[],"text":'), quoted(text), F.lit("}")))
 
 
+def _inputs(texts: pd.Series, features: pd.Series) -> pd.Series:
+    rows = ({"features": [float(x) for x in f] if f is not None else [], "text": t} for t, f in zip(texts, features, strict=True))
+    return pd.Series([json.dumps(r, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False) for r in rows], dtype=object)
+
+
+def inputs_exact(text, features) -> Column:
+    """Like text_exact(), with numeric features: their canonical form is not the engine's, so it is made in Python."""
+    return stable_hash(F.pandas_udf(_inputs, StringType())(_c(text), _c(features)))
+
+
 def text_template(text) -> Column:
     """Of the text in lower case, white space collapsed and every number the same."""
     return stable_hash(quoted(F.regexp_replace(collapse_space(F.lower(text_or_empty(text))), r"\d+", "<N>")))

@@ -1,19 +1,20 @@
 """Text classification: character n-grams within words, TF-IDF, numeric features, and a linear or boosted model.
 
-Fitting and scoring are MLlib pipelines over column expressions; only the sublinear scaling of
-sparse counts, which no built-in stage does, passes vectors through one Python function.
+The vocabulary and its document frequencies are aggregations over column expressions, and
+models are MLlib's. Sparse vectors with sublinear counts, which no built-in stage makes, come
+from one Python function over the text.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,12 +67,12 @@ class Classifier:
     settings: Settings
     classes: list
     width: int
+    vocabulary: list[str]
     idf: list[float]
-    counter: CountVectorizerModel
     models: list = field(default_factory=list)
 
     def _vectors(self, rows: DataFrame, text: str, numbers: str | None) -> DataFrame:
-        return _assembled(rows, text, numbers, self.counter, np.array(self.idf), self.settings, self.width)
+        return _assembled(rows, text, numbers, self.vocabulary, np.array(self.idf), self.settings, self.width)
 
     def predict(self, rows: DataFrame, text: str, numbers: str | None = None) -> DataFrame:
         """rows with `probabilities` (by class, in the order of classes) and `label`; an empty frame is fine."""
@@ -94,37 +95,43 @@ class Classifier:
         """A new directory with the fitted stages and a description; an existing one is an error."""
         path = Path(path)
         path.mkdir(parents=True)
-        self.counter.save(str(path / "counter"))
         for k, m in enumerate(self.models):
             m.save(str(path / f"model{k}"))
-        text = json.dumps({"format": FORMAT, "settings": asdict(self.settings), "classes": self.classes, "width": self.width, "idf": self.idf, "models": len(self.models)}, ensure_ascii=False)
+        text = json.dumps({"format": FORMAT, "settings": asdict(self.settings), "classes": self.classes, "width": self.width, "vocabulary": self.vocabulary, "idf": self.idf, "models": len(self.models)}, ensure_ascii=False)
         (path / "classifier.json").write_text(text, encoding="utf-8")
 
     @staticmethod
     def load(spark: SparkSession, path: str | Path) -> Classifier:
         path = Path(path)
         x = json.loads((path / "classifier.json").read_text(encoding="utf-8"))
-        counter = CountVectorizerModel.load(str(path / "counter"))
-        if x.get("format") != FORMAT or len(x["idf"]) != len(counter.vocabulary):
+        if x.get("format") != FORMAT or len(x["idf"]) != len(x["vocabulary"]):
             raise ValueError("not a classifier of this format, or its parts do not fit")
         models = [PipelineModel.load(str(path / f"model{k}")) for k in range(x["models"])]
-        return Classifier(Settings(**x["settings"]), x["classes"], x["width"], x["idf"], counter, models)
+        return Classifier(Settings(**x["settings"]), x["classes"], x["width"], x["vocabulary"], x["idf"], models)
 
 
-def _assembled(rows: DataFrame, text: str, numbers: str | None, counter, idf: np.ndarray, s: Settings, width: int) -> DataFrame:
-    def scaled(v, more, _):  # a column used twice is not folded into the call, which the planner can fail to take apart
-        if more is None or len(more) != width or not all(x is not None and np.isfinite(x) for x in more):
+def grams_of(text: str, low: int, high: int) -> Counter:
+    """What char_grams() makes, counted."""
+    padded = (f" {w} " for w in text.lower().split())
+    return Counter(w[i : i + n] for w in padded for n in range(low, min(high, len(w)) + 1) for i in range(len(w) - n + 1))
+
+
+def _assembled(rows: DataFrame, text: str, numbers: str | None, vocabulary: list[str], idf: np.ndarray, s: Settings, width: int) -> DataFrame:
+    """rows with the vector _x: the text's scaled counts, of length 1, then the numbers."""
+    place = {g: k for k, g in enumerate(vocabulary)}
+
+    def vector(text, more):
+        if len(more) != width or not all(x is not None and np.isfinite(x) for x in more):
             raise ValueError(f"numeric features must be {width} finite numbers")
-        w = (1 + np.log(v.values)) * idf[v.indices]
-        norm = float(np.sqrt((w * w).sum()))
-        w = w / norm if norm else w
-        at = [k for k, x in enumerate(more) if x]
-        indices = np.concatenate([v.indices, np.array([v.size + k for k in at], np.int32)])
-        return SparseVector(v.size + len(more), indices, np.concatenate([w, [more[k] for k in at]]))
+        found = sorted((place[g], n) for g, n in grams_of(text or "", s.low, s.high).items() if g in place)
+        at = np.array([k for k, _ in found], np.int64)
+        w = (1 + np.log([n for _, n in found])) * idf[at] if found else np.zeros(0)
+        w = w / np.linalg.norm(w) if found else w
+        some = [k for k, x in enumerate(more) if x]
+        return SparseVector(len(place) + width, [*at.tolist(), *(len(place) + k for k in some)], [*w.tolist(), *(more[k] for k in some)])
 
-    counted = counter.transform(rows.withColumn("_grams", char_grams(text, s.low, s.high)))
-    more = F.col(numbers).cast("array<double>") if numbers else F.array().cast("array<double>")
-    return counted.withColumn("_x", F.udf(scaled, VectorUDT())("_counts", more, F.col("_counts")))
+    more = F.coalesce(F.col(numbers).cast("array<double>"), F.array()) if numbers else F.array().cast("array<double>")
+    return rows.withColumn("_x", F.udf(vector, VectorUDT())(_c(text), more))
 
 
 def fit(rows: DataFrame, text: str, label: str, numbers: str | None = None, settings: Settings | None = None) -> Classifier:
@@ -142,12 +149,14 @@ def fit(rows: DataFrame, text: str, label: str, numbers: str | None = None, sett
     if sizes[3] != sizes[4]:
         raise ValueError("numeric features differ in width")
     width = sizes[3] if numbers else 0
-    grams = rows.withColumn("_grams", char_grams(text, s.low, s.high))
-    counter = CountVectorizer(inputCol="_grams", outputCol="_counts", minDF=float(s.min_documents), maxDF=s.max_share, vocabSize=s.vocabulary).fit(grams)
     n = sizes[0]
-    frequency = {r["g"]: r["n"] for r in _document_frequency(grams, counter.vocabulary).collect()}
-    idf = [float(np.log((1 + n) / (1 + frequency.get(g, 0))) + 1) for g in counter.vocabulary]
-    out = Classifier(s, labels, width, idf, counter)
+    grams = rows.select(char_grams(text, s.low, s.high).alias("g"))
+    once = grams.select(F.explode(F.array_distinct("g")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    terms = grams.select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).join(once, "g")
+    kept = terms.where((F.col("df") >= s.min_documents) & (F.col("df") <= s.max_share * n)).orderBy(F.desc("n"), "g").limit(s.vocabulary).collect()
+    if not kept:
+        raise ValueError("no term is frequent enough")
+    out = Classifier(s, labels, width, [r["g"] for r in kept], [float(np.log((1 + n) / (1 + r["df"])) + 1) for r in kept])
     index = F.element_at(F.create_map(*[v for k, c in enumerate(labels) for v in (F.lit(c), F.lit(float(k)))]), F.col(label))
     x = out._vectors(rows, text, numbers).withColumn("_label", index).select("_x", "_label")
     x = written(x)
@@ -161,10 +170,3 @@ def fit(rows: DataFrame, text: str, label: str, numbers: str | None = None, sett
             trees = trees.setPredictionCol("_y").setProbabilityCol("_p").setRawPredictionCol("_r")
             out.models.append(PipelineModel([trees.fit(one)]))
     return out
-
-
-def _document_frequency(grams: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(g, n): documents with each term of the vocabulary, whose size bounds the result."""
-    terms = grams.sparkSession.createDataFrame([(g,) for g in vocabulary], "g string")
-    seen = grams.select(F.explode(F.array_distinct("_grams")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    return seen.join(F.broadcast(terms), "g")

@@ -48,7 +48,7 @@ def test_tfidf_formula(spark, rows):
     m = model.fit(rows, "text", "label")
     texts = [r["text"] for r in rows.orderBy("id").collect()]
     grams = [plain_grams(t) for t in texts]
-    vocabulary = m.counter.vocabulary
+    vocabulary = m.vocabulary
     df = {g: sum(g in set(x) for x in grams) for g in vocabulary}
     assert all(2 <= n <= 0.995 * len(texts) for n in df.values())
     row = m._vectors(rows.where("id = 5"), "text", None).first()["_x"].toArray()
