@@ -210,3 +210,13 @@ def flat(events: DataFrame) -> DataFrame:
         *rest, *[q(n).alias(n) for n in ("method", "uri", "filename", "file_ext", "field_name")], q("body_excerpt").alias("request_body"),
         p("status_code").alias("status_code"), p("headers").alias("headers"), p("content_type").alias("content_type"), p("body").alias("body"),
     )
+
+
+def standardised(events: DataFrame, label: str = "label") -> DataFrame:
+    """Events with normal addresses and labels, hidden sensitive headers, and cut bodies."""
+    q, p = F.col("request"), F.col("response")
+    request = q.withField("uri", tx.normalize_uri("request.uri")).withField("headers", tx.redact_headers(F.coalesce("request.headers", F.create_map().cast(_MAP))))
+    response = p.withField("headers", tx.redact_headers(F.coalesce("response.headers", F.create_map().cast(_MAP))))
+    request = request.withField("body_excerpt", F.substring(tx.text_or_empty("request.body_excerpt"), 1, 500))
+    response = response.withField("body", F.substring(tx.text_or_empty("response.body"), 1, 20000))
+    return events.withColumns({"request": request, "response": response, label: tx.normalize_label(label)})

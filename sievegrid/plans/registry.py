@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegrid.functions import fingerprints as fp
+from sievegrid.functions import http
 from sievegrid.functions import text as tx
-from sievegrid.operators import decisions, dedup, evidence, leakage, merging, metrics, prepare, splitting
+from sievegrid.operators import decisions, dedup, evidence, leakage, merging, metrics, model, prepare, reviewing, splitting
 from sievegrid.plans import views
+from sievegrid.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -500,5 +502,33 @@ def judged_uploads(spark, sf):
     return evidence.judge(ruled).select("event_id", "verdict", "confidence", "p_success", "decided_by", "evidence", "negative_evidence")
 
 
+@query(
+    "alert_conversion",
+    f"""with {views.ALERTS}, a as (select *, url as uri from alerts)
+    select 'tdp_failed_' || line as event_id, 'POST' as method, {_URI} as uri, case line % 4 when 0 then 'a' || line || '.PHP' when 1 then 'b ' || line || '.txt' else '' end as filename,
+      case line % 4 when 0 then 'php' when 1 then 'txt' else '' end as file_ext, case line % 4 when 0 then 'file' when 1 then 'b%20' || line || '.txt' else '' end as field_name,
+      case when line % 5 = 0 then 0 else 200 + line % 5 end::int as status_code, 'text/plain' as content_type, resp_body as body, 'failed' as label from a""",
+)
+def alert_conversion(spark, sf):
+    events = http.standardised(http.alerts(views.alerts(spark, sf), "failed"))
+    return http.flat(events).select("event_id", "method", "uri", "filename", "file_ext", "field_name", "status_code", "content_type", "body", "label")
+
+
+@query("review_sample")
+def review_sample(spark, sf):
+    """Upload events by sampling stratum, 200 of them in turn from each."""
+    ruled = evidence.with_rule(evidence.with_features(views.responses(spark, sf))).withColumn("source_label", F.lit("failed"))
+    rows = materialize(ruled.select("event_id", reviewing.stratum().alias("stratum"), reviewing.failure_score("uri", "body").alias("score")))
+    return splitting.round_robin_sample(rows, "stratum", "event_id", 200, 42)
+
+
+@query("text_classifier")
+def text_classifier(spark, sf):
+    """Who speaks in a conversation turn, learned from the even conversations and predicted for all turns."""
+    rows = views.table(spark, sf, "conversations").where("text is not null and role is not null").select("conv_id", "turn", "role", "text")
+    fitted = model.fit(rows.where("conv_id % 2 = 0"), "text", "role", settings=model.Settings(iterations=30, vocabulary=5000))
+    return fitted.predict(rows, "text").select("conv_id", "turn", "role", "label", "probabilities")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup_counts(spark, sf_dir)

@@ -147,3 +147,27 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("file").alias("field_name"), F.lit("").alias("request_body"), "status_code", none.alias("headers"), "content_type", "body", F.lit(0.7).alias("p_success"),
     )
     return json.unionByName(pages)
+
+
+ALERTS = """
+alerts as (
+  select event_id as line, case event_id % 3 when 0 then 'https://h.example/upload?e=' || event_id when 1 then 'http://h.example' else '/local/' || event_id end as url,
+         case event_id % 4 when 0 then 'name="file"; filename="a' || event_id || '.PHP"' when 1 then 'filename=b%20' || event_id || '.txt' else 'none' end as reqs_body,
+         case event_id % 5 when 0 then '2x0' else (200 + event_id % 5)::varchar end as status, event_type as resp_body from events)"""
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Platform alert records, one JSON object a row, with line numbers."""
+    e = F.col("event_id")
+    n = e.cast("string")
+    http = F.struct(
+        F.lit("POST").alias("method"),
+        F.when(e % 3 == 0, F.concat(F.lit("https://h.example/upload?e="), n)).when(e % 3 == 1, "http://h.example").otherwise(F.concat(F.lit("/local/"), n)).alias("url"),
+        F.lit("Content-Type: multipart/form-data\r\nCookie: a=b").alias("reqs_header"),
+        F.when(e % 4 == 0, F.concat(F.lit('name="file"; filename="a'), n, F.lit('.PHP"'))).when(e % 4 == 1, F.concat(F.lit("filename=b%20"), n, F.lit(".txt"))).otherwise("none").alias("reqs_body"),
+        F.lit("Content-Type: text/plain").alias("resp_header"), F.col("event_type").alias("resp_body"),
+        F.when(e % 5 == 0, "2x0").otherwise((200 + e % 5).cast("string")).alias("status"),
+    )
+    for name in ("http", "net", "alert", "detail", "data", "detail"):
+        http = F.struct(http.alias(name))
+    return table(spark, sf_dir, "events").select(F.to_json(http).alias("json"), e.alias("line"))
