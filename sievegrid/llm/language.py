@@ -26,8 +26,9 @@ from sievegrid.llm.common import held_out, materialize, table
 
 MODULUS, REMAINDER = 4, 2
 ORDERS = (2, 3, 4)
-#: Bounds of the fitted model: documents sampled and n-grams kept for each language.
+#: Bounds of the fitted model: documents sampled for a language, languages (the most frequent), n-grams kept for each.
 SAMPLE_PER_LANG = 1000
+MOST_LANGS = 256
 GRAMS_PER_LANG = 20_000
 SHARE = 0.25
 SLOTS_LOG2 = 18
@@ -91,7 +92,8 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, share: float = SHARE
     The model is of bounded size: 2^SLOTS_LOG2 slots of one bit per language.
     """
     docs = docs.where("lang is not null and text is not null")
-    sizes = sorted((r["lang"], r["n"]) for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
+    counted = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    sizes = sorted((r["lang"], r["n"]) for r in counted.collect())
     langs = [x for x, _ in sizes]
     model = {"langs": langs, "prior": langs[int(np.argmax([n for _, n in sizes]))] if langs else UNDETERMINED}
     if not langs:
