@@ -75,7 +75,7 @@ class Classifier:
         return _assembled(rows, text, numbers, self.vocabulary, np.array(self.idf), self.settings, self.width)
 
     def predict(self, rows: DataFrame, text: str, numbers: str | None = None) -> DataFrame:
-        """rows with `probabilities` (by class, in the order of classes) and `label`; an empty frame is fine."""
+        """rows with `probabilities` (by class, in the order of classes) and `predicted`; an empty frame is fine."""
         x = self._vectors(rows, text, numbers)
         if self.settings.backend == "logistic":
             p = vector_to_array("_p")
@@ -89,7 +89,7 @@ class Classifier:
         names = F.array(*[F.lit(c) for c in self.classes])
         x = x.withColumn("probabilities", p)
         best = F.array_position("probabilities", F.array_max("probabilities")).cast("int")
-        return x.withColumn("label", F.element_at(names, best)).select(*rows.columns, "probabilities", "label")
+        return x.withColumn("predicted", F.element_at(names, best)).select(*[c for c in rows.columns if c not in ("probabilities", "predicted")], "probabilities", "predicted")
 
     def save(self, path: str | Path) -> None:
         """A new directory with the fitted stages and a description; an existing one is an error."""

@@ -30,7 +30,8 @@ def hashed_rank(df: DataFrame, by: list[str], order: str, name: str) -> DataFram
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column], most: int = 1, salt: str = "_salt") -> DataFrame:
     """The first `most` rows of each group: of SALTS parts of it first, then of what these leave."""
-    salted = df.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)))
+    hashed = [F.col(c) for c, kind in df.dtypes if "map<" not in kind]  # maps have no hash
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(*hashed), F.lit(SALTS)))
     part = F.row_number().over(Window.partitionBy(*by, salt).orderBy(*order))
     left = salted.withColumn("_rank", part).where(F.col("_rank") <= most).drop("_rank", salt)
     whole = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

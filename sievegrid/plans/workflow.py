@@ -106,7 +106,7 @@ def evaluated(predicted: DataFrame) -> dict:
     """The classification report of predictions whose samples are all labelled."""
     if not predicted.where("target is null or label_status != 'labeled'").isEmpty():
         raise ValueError("evaluation needs labelled samples")
-    counted = metrics.confusion(predicted, gold="target", predicted="label")
+    counted = metrics.confusion(predicted, gold="target", predicted="predicted")
     if counted.isEmpty():
         raise ValueError("evaluation needs samples")
     report = {r["name"]: {k: r[k] for k in ("precision", "recall", "f1", "support")} for r in metrics.classification_report(counted).collect()}
@@ -123,7 +123,7 @@ def predict(spark: SparkSession, artifact: str, path: str, run_root: str) -> dic
     def work(folder: Path) -> dict:
         model, _ = _opened(spark, artifact)
         out = model.predict(load(spark, path), "text", "features" if model.width else None)
-        records.write_jsonl(out.select("sample_id", "label", "probabilities"), str(folder / "predictions"))
+        records.write_jsonl(out.select("sample_id", F.col("predicted").alias("label"), "probabilities"), str(folder / "predictions"))
         return {"predictions": str(folder / "predictions")}
 
     return runs.run(run_root, "predict", {"artifact": artifact, "input": path}, work, (artifact, path))
@@ -158,7 +158,7 @@ def evaluate(spark: SparkSession, artifact: str, dataset: runs.Dataset, run_root
         except runs.Ineligible as e:
             records.write_json(e.report, folder / "lineage_report.json")
             raise
-        records.write_jsonl(out.select("sample_id", "label", "probabilities"), str(folder / "predictions"))
+        records.write_jsonl(out.select("sample_id", F.col("predicted").alias("label"), "probabilities"), str(folder / "predictions"))
         result = {"purpose": dataset.purpose, "independent_test_eligible": allowed["independent_test_eligible"], "metrics": result}
         records.write_json(result, folder / "metrics.json")
         return result

@@ -35,7 +35,7 @@ def test_fit_predict_save_load(spark, rows, tmp_path):
     assert m.classes == ["food", "tech", "travel"]
     out = m.predict(rows, "text", "numbers").collect()
     truth = {r["id"]: r["label"] for r in rows.collect()}
-    assert all(r["label"] == truth[r["id"]] and abs(sum(r["probabilities"]) - 1) < 1e-9 for r in out)
+    assert all(r["predicted"] == truth[r["id"]] and abs(sum(r["probabilities"]) - 1) < 1e-9 for r in out)
     m.save(tmp_path / "m")
     with pytest.raises(FileExistsError):
         m.save(tmp_path / "m")
