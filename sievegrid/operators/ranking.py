@@ -9,16 +9,18 @@ DIGITS = 3
 SALTS = 64
 
 
-def hashed_rank(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+def hashed_rank(df: DataFrame, by: list[str], order: str, name: str, total: str = "") -> DataFrame:
     """df with the rank from 1 within `by` by `order`, a column of hexadecimal hashes.
 
     The hashes' leading digits cut a group into even parts in order: rows are ranked within
-    their part, and the parts' counts give each its offset. No group is in one task.
+    their part, and the parts' counts give each its offset, and `total`, if it is named, the
+    group's size. No group is in one task.
     """
     cut = df.withColumn("_part", F.substring(order, 1, DIGITS))
     sums = cut.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    size = [F.sum("_n").over(Window.partitionBy(*by)).alias(total)] if total else []
+    offsets = sums.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *size)
     local = Window.partitionBy(*by, "_part").orderBy(order)
     return (
         cut.withColumn("_local", F.row_number().over(local))

@@ -13,10 +13,9 @@ from sievegrid.operators.ranking import first_rows, hashed_rank
 
 def stratified_split(rows: DataFrame, label: str, key: str, ratio: float, seed: int) -> DataFrame:
     """rows with `part`: of each label the first max(1, round(n * ratio)) are 'val', the others 'train'."""
-    ranked = hashed_rank(rows.withColumn("_order", seeded_order(seed, key)), [label], "_order", "_rank")
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = hashed_rank(rows.withColumn("_order", seeded_order(seed, key)), [label], "_order", "_rank", "_n")
     val = F.greatest(F.lit(1), F.bround(F.col("_n") * ratio, 0)).cast("long")
-    return ranked.join(sizes, label).withColumn("part", F.when(F.col("_rank") <= val, "val").otherwise("train")).select(*rows.columns, "part")
+    return ranked.withColumn("part", F.when(F.col("_rank") <= val, "val").otherwise("train")).select(*rows.columns, "part")
 
 
 def round_robin_sample(rows: DataFrame, stratum: str, key: str, size: int, seed: int) -> DataFrame:

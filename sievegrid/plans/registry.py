@@ -131,9 +131,14 @@ _UNIQUE = f"""unique_rows as (
   select * from keyed where exact not in ({_CONFLICTS}) qualify row_number() over (partition by exact order by ordinal) = 1)"""
 
 
+def _keys(spark, sf):
+    """Samples without their texts: what dedup needs to shuffle."""
+    return views.keyed(spark, sf).select("sample_id", "exact", "template", "target", "ordinal")
+
+
 @query("exact_dedup_counts", f"with {views.KEYED}, {_UNIQUE} select target as lang, count(*) as kept from unique_rows group by target")
 def exact_dedup_counts(spark, sf):
-    unique = dedup.exact_unique(views.keyed(spark, sf), "exact", "target", "ordinal")
+    unique = dedup.exact_unique(_keys(spark, sf), "exact", "target", "ordinal")
     return unique.groupBy(F.col("target").alias("lang")).agg(F.count(F.lit(1)).alias("kept"))
 
 
@@ -144,7 +149,7 @@ def exact_dedup_counts(spark, sf):
     union all select 'template', template, array_to_string(list_sort(list(distinct target)), ','), 'unknown_excluded' from unique_rows group by template having count(distinct target) > 1""",
 )
 def label_conflicts(spark, sf):
-    audit = dedup.conflict_audit(views.keyed(spark, sf), "exact", "template", "target", "ordinal")
+    audit = dedup.conflict_audit(_keys(spark, sf), "exact", "template", "target", "ordinal")
     return audit.withColumn("labels", F.concat_ws(",", "labels"))
 
 
@@ -168,7 +173,7 @@ def template_cap(spark, sf):
     select sample_id from unique_rows where template in (select template from clean) qualify row_number() over (partition by template order by ordinal) = 1""",
 )
 def template_unique(spark, sf):
-    unique = dedup.exact_unique(views.keyed(spark, sf), "exact", "target", "ordinal").select("sample_id", "template", "target", "ordinal")
+    unique = dedup.exact_unique(_keys(spark, sf), "exact", "target", "ordinal").select("sample_id", "template", "target", "ordinal")
     return dedup.template_capped(unique, "template", "target", "ordinal", 1, exclude_conflicts=True).select("sample_id")
 
 
