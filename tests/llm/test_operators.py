@@ -632,3 +632,27 @@ def test_pipeline_stages(spark, tmp_path):
     for i, t in marks.items():
         texts.setdefault(t, []).append(i)
     assert all(sum(i in alone for i in ids) <= 1 for ids in texts.values())
+
+
+def test_pipeline_on_hard_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(i if i is None else i + 10**9, *r) for i, *r in HARD]  # ids without a label
+    for given in (rows, []):
+        docs = documents(spark, given)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            if name == "sharding":
+                assert out.count() == docs.count()
+                check_shards(out.collect(), 16)
+            else:
+                assert out.columns == docs.columns
+                kept = {r["doc_id"] for r in out.collect()}
+                assert kept <= {r["doc_id"] for r in docs.collect()}
+                if name in ("toxicity", "decontamination"):
+                    assert out.count() == docs.count()
+                docs = out
+    odd = documents(spark, [(1, None, None, None)] * 3)
+    assert corpus_pipeline.STAGES[0][1](spark, odd, sf).count() == 3
+    assert corpus_pipeline.STAGES[3][1](spark, odd, sf).count() == 0
