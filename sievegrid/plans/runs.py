@@ -130,7 +130,7 @@ def run(root: str | Path, command: str, config: dict, work: Callable[[Path], dic
 
 def seal(folder: Path, task_id: str, backend: str, model: str = "model") -> dict:
     """The manifest of a trained artifact: every file of it with its hash."""
-    files = inventory(folder / model, folder)
+    files = {k: v for d in sorted(p for p in folder.iterdir() if p.is_dir()) for k, v in inventory(d, folder).items()}
     for p in sorted(folder.glob("*.json")):
         if p.name not in ("run.json", "manifest.json"):
             files |= inventory(p, folder)

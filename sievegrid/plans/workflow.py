@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import shutil
 import sys
 from dataclasses import asdict
 from functools import reduce
@@ -19,6 +20,8 @@ from sievegrid.plans import runs
 from sievegrid.sources import records
 
 FIRST_PROBLEMS = 20
+#: Hashed keys are as many as the samples: a table beside the records, never on the driver.
+KEYS = "lineage_keys"
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -92,8 +95,8 @@ def train(spark: SparkSession, task: runs.Task) -> dict:
         width = ready.agg(F.max(F.size("features"))).first()[0] or 0
         model = fit(ready, "text", "training_target", "features" if width else None, Settings(backend=task.backend, seed=task.seed, **task.parameters))
         model.save(folder / "model")
-        stored = [r.asDict() for r in leakage.lineage(keys).collect()]
-        records.write_json({"version": 1, "entries": report["datasets"], "keys": stored}, folder / "lineage.json")
+        leakage.lineage(keys).write.parquet(str(folder / KEYS))
+        records.write_json({"version": 1, "entries": report["datasets"], "keys": KEYS}, folder / "lineage.json")
         tested = {k: evaluated(model.predict(s, "text", "features" if width else None)) for k, s in samples.items() if used[k].purpose == "development"}
         records.write_json(tested, folder / "development_metrics.json")
         runs.seal(folder, task.task_id, task.backend)
@@ -140,15 +143,17 @@ def evaluate(spark: SparkSession, artifact: str, dataset: runs.Dataset, run_root
         report, keys = isolation({"evaluation": samples}, {"evaluation": dataset})
         own, incoming = report["datasets"]["evaluation"], leakage.lineage(keys)
         records.write_json(asdict(dataset), folder / "evaluation_spec.json")
-        usage = {"purpose": dataset.purpose, "provenance": dataset.provenance, "count": own["count"], "coverage": own["coverage"], "keys": [r.asDict() for r in incoming.collect()]}
+        name = f"evaluation_history/{KEYS}-{folder.name}"
+        usage = {"purpose": dataset.purpose, "provenance": dataset.provenance, "count": own["count"], "coverage": own["coverage"], "keys": name}
+        incoming.write.parquet(str(Path(artifact) / name))
 
         def check(earlier: list[dict]) -> dict:
-            entries, stored = dict(lineage["entries"]), list(lineage["keys"])
+            entries, stored = dict(lineage["entries"]), spark.read.parquet(str(Path(artifact) / lineage["keys"]))
             for k, use in enumerate(earlier):
                 entries[f"evaluation:{k}"] = {x: use[x] for x in ("purpose", "count", "coverage")}
-                stored += [key | {"dataset": f"evaluation:{k}"} for key in use["keys"]]
-            frame = spark.createDataFrame([(x["dataset"], x["kind"], x["key_hash"]) for x in stored], "dataset string, kind string, key_hash string")
-            return runs.check_use(incoming, own["count"], own["coverage"], dataset, frame, entries)
+                seen = spark.read.parquet(str(Path(artifact) / use["keys"]))
+                stored = stored.unionByName(seen.withColumn("dataset", F.lit(f"evaluation:{k}")))
+            return runs.check_use(incoming, own["count"], own["coverage"], dataset, stored, entries)
 
         try:
             with runs.evaluation(artifact, folder.name, check, usage) as allowed:
@@ -156,6 +161,7 @@ def evaluate(spark: SparkSession, artifact: str, dataset: runs.Dataset, run_root
                 out = model.predict(samples, "text", "features" if model.width else None)
                 result = evaluated(out)
         except runs.Ineligible as e:
+            shutil.rmtree(Path(artifact) / name)
             records.write_json(e.report, folder / "lineage_report.json")
             raise
         records.write_jsonl(out.select("sample_id", F.col("predicted").alias("label"), "probabilities"), str(folder / "predictions"))
