@@ -79,6 +79,11 @@ def cluster_key(body) -> Column:
     return F.concat(F.substring(F.sha2(b, 256), 1, 12), F.lit(":"), F.substring(b, 1, 60))
 
 
+def candidate_template(uri, body) -> Column:
+    """Of a response for picking review candidates: its address and its body with every number the same."""
+    return F.sha2(F.concat(text_or_empty(uri), F.lit("|"), F.regexp_replace(F.lower(text_or_empty(body)), NUMBER, "<num>")), 256)
+
+
 def membership_key(kind, value) -> Column:
     """What lineage keeps of a key: the hash of its kind and value."""
     return stable_hash(F.concat(F.lit('{"kind":'), quoted(kind), F.lit(',"value":'), quoted(value), F.lit("}")))

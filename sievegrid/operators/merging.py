@@ -92,3 +92,12 @@ def alignment(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(side, key) of keys that only one side has."""
     a, b = left.select(key).distinct(), right.select(key).distinct()
     return a.exceptAll(b).select(F.lit("left").alias("side"), key).unionAll(b.exceptAll(a).select(F.lit("right").alias("side"), key))
+
+
+def in_order(samples: DataFrame, predictions: DataFrame, ordinal: str = "ordinal", key: str = "sample_id") -> DataFrame:
+    """samples with their predictions, place by place; another number, order or id is an error."""
+    right = predictions.withColumnRenamed(key, "_key")
+    same = F.col(key).isNotNull() & F.col("_key").isNotNull() & (F.col(key) == F.col("_key"))
+    fail = F.raise_error(F.concat(F.lit("samples and predictions differ at "), F.col(ordinal).cast("string")))
+    joined = samples.join(right, ordinal, "full_outer")
+    return joined.where(F.when(same, F.lit(True)).otherwise(fail)).drop("_key")

@@ -113,6 +113,21 @@ def binary_target(label) -> Column:
     return F.when(x.isin("success", tx.LIKELY, tx.CONFIRMED), 1).when(x.isin("failed", "failure"), 0)
 
 
+def core_rows(events: DataFrame, source: str) -> DataFrame:
+    """What training keeps of an event; a label that is no verdict is an error."""
+    legal = F.col("label").isin(*tx.VERDICTS)
+    fail = F.raise_error(F.concat(F.lit("no verdict: "), F.coalesce("label", F.lit("null"))))
+    kept = events.select("event_id", "request", "response", "label", F.lit(source).alias("v4_source"))
+    return kept.where(F.when(legal, F.lit(True)).otherwise(fail))
+
+
+def training_counts(rows: DataFrame, label: str = "label", source: str = "source") -> DataFrame:
+    """(measure, value, rows) by label, by source and by binary target."""
+    measures = {"label": F.col(label), "source": F.col(source), "binary": F.coalesce(binary_target(label).cast("string"), F.lit("excluded"))}
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in measures.items()])).alias("x"))
+    return long.groupBy("x.measure", "x.value").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def fit_judge_model(events: DataFrame, label: str = "label", settings: model.Settings | None = None) -> model.Classifier:
     """The probability model of the judge, from flat events with labels: their text and 24 numbers."""
     return model.fit(represented(events).withColumn("target", binary_target(label)).where("target is not null"), "model_text", "target", "numbers", settings)

@@ -11,7 +11,7 @@ from sievegrid.functions import fingerprints as fp
 from sievegrid.functions import http
 from sievegrid.functions import text as tx
 from sievegrid.operators import decisions, dedup, evidence, leakage, merging, metrics, model, prepare, reviewing, splitting
-from sievegrid.plans import views
+from sievegrid.plans import datasets, views
 from sievegrid.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -332,6 +332,30 @@ def partition_profile(spark, sf):
     return rows.select(F.explode(measures).alias("x")).groupBy("x.measure", "x.value").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query(
+    "training_counts",
+    f"""with {views.UPLOADS}, t as (select label, file_ext as source, case when label in ('success', 'likely_upload_success') then '1' when label in ('failed', 'failure') then '0' else 'excluded' end as target from uploads)
+    select 'label' as measure, label as value, count(*) as rows from t group by label union all select 'source', source, count(*) from t group by source
+    union all select 'binary', target, count(*) from t group by target""",
+)
+def training_counts(spark, sf):
+    return datasets.training_counts(views.uploads(spark, sf), source="file_ext")
+
+
+@query(
+    "candidate_templates",
+    f"""with {views.UPLOADS} select event_id, sha256(uri || '|' || regexp_replace(lower(body), '{fp.NUMBER}', '<num>', 'g')) as template from uploads""",
+)
+def candidate_templates(spark, sf):
+    return views.uploads(spark, sf).select("event_id", fp.candidate_template("uri", "body").alias("template"))
+
+
+@query("paired_predictions", f"with {views.PAIRS} select doc_id, gold, predicted from pairs")
+def paired_predictions(spark, sf):
+    rows = views.pairs(spark, sf).withColumn("sample_id", F.col("doc_id").cast("string"))
+    return merging.in_order(rows.select("doc_id", "sample_id", "gold"), rows.select("doc_id", "sample_id", "predicted"), "doc_id").select("doc_id", "gold", "predicted")
+
+
 # --- Metrics
 
 

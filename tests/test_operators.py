@@ -197,3 +197,21 @@ def test_oracle(spark, name):
 def test_gold_split_query(spark):
     out = registry.queries()["gold_split"](spark, SF)
     assert out.where("part = 'tune'").count() == out.count() * 55 // 100
+
+
+def test_predictions_must_be_in_order(spark):
+    a = spark.createDataFrame([(0, "x"), (1, "y")], "ordinal int, sample_id string")
+    good = spark.createDataFrame([(1, "y", "b"), (0, "x", "a")], "ordinal int, sample_id string, output string")
+    assert sorted((r["sample_id"], r["output"]) for r in merging.in_order(a, good).collect()) == [("x", "a"), ("y", "b")]
+    for bad in ([(0, "x", "a")], [(0, "y", "a"), (1, "x", "b")], [(0, "x", "a"), (1, "y", "b"), (2, "z", "c")]):
+        with pytest.raises(PySparkException):
+            merging.in_order(a, spark.createDataFrame(bad, "ordinal int, sample_id string, output string")).collect()
+
+
+def test_core_rows_need_a_verdict(spark):
+    from sievegrid.plans import datasets
+
+    rows = spark.createDataFrame([("e", "r", "p", "failed", 1)], "event_id string, request string, response string, label string, more int")
+    assert datasets.core_rows(rows, "new").first().asDict() == {"event_id": "e", "request": "r", "response": "p", "label": "failed", "v4_source": "new"}
+    with pytest.raises(PySparkException):
+        datasets.core_rows(rows.withColumn("label", F.lit("odd")), "new").collect()
