@@ -32,7 +32,7 @@ MODULUS, REMAINDER = 4, 2
 SAMPLE = 12_000
 TERMS = 20_000
 PRIOR, PRIOR_SHARE = 2000.0, 0.01
-ERRORS = 2.0
+ERRORS = 2.5
 MARGIN = 0.75
 LOSS = 0.35
 THRESHOLD = 0.3
