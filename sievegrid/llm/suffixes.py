@@ -172,7 +172,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     classes = materialize(
         candidates.groupBy("h", "around").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.min(F.struct("key", "at")).alias("first"), F.max(F.struct("key", "at")).alias("last"))
     )
-    open_ = classes.where("a = z").select("h").distinct()
+    open_ = materialize(classes.where("a = z").select("h").distinct())
     inside = candidates.join(classes.where("a != z").select("h", "around"), ["h", "around"]).select(
         "key", (F.col("at") - (LEAST - PREFIX)).alias("start"), (F.col("at") + LEAST).alias("end")
     )
