@@ -156,7 +156,7 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     tokens[t] += n
                     seen.add(t)
             documents.update(seen)
-    names = [t for t in sums[0].keys() | sums[1].keys() if sums[0][t] or sums[1][t] > 1]
+    names = list(sums[0].keys() | sums[1].keys())  # rare terms too: only the sums over all tasks can tell
     for at in range(0, len(names), 100_000):
         part = names[at : at + 100_000]
         yield pd.DataFrame({"term": part} | {c: [s[t] for t in part] for c, s in zip(COUNTS, sums, strict=True)})

@@ -225,6 +225,21 @@ def test_toxicity_learns(spark):
     assert toxicity.drop_toxic(docs, labels).count() == 300
 
 
+def test_toxicity_does_not_depend_on_the_partitions(spark):
+    rows = [(i, prose(i, 30) + (f" quiet{i % 40} vilewurd" if i % 4 == 0 else f" quiet{i % 37}"), "en", "s") for i in range(400)]
+    docs, labels = documents(spark, rows), labelled(spark, [(i, int(i % 4 == 0)) for i in range(400)], "toxic")
+    kind = "term string, " + ", ".join(f"{c} long" for c in toxicity.COUNTS)
+
+    def counts(n):
+        parts = docs.select("text", (F.col("doc_id") % 4 == 0).cast("int").alias("label")).repartition(n).mapInPandas(toxicity._counted, kind)
+        return {tuple(r) for r in parts.groupBy("term").agg(*[F.sum(c) for c in toxicity.COUNTS]).collect()}
+
+    assert counts(1) == counts(200)
+    one, many = (toxicity.train(docs.repartition(n), labels) for n in (1, 200))
+    assert one["terms"] == many["terms"] and "vilewurd" in one["terms"]
+    assert np.isclose(one["lambda"], many["lambda"]) and np.allclose(one["logit"], many["logit"])
+
+
 def test_toxicity_hard_rows(spark):
     docs = documents(spark, HARD)
     for labels in ([(5, 1), (8, 0), (7, 0), (1, 1)], []):
