@@ -26,7 +26,8 @@ from sievegrid.llm.pages_gold import labelled_pages
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title template iframe noembed noframes xmp select svg math object".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+_RAW_END = {name: re.compile(f"</{name}(?=[\\s/>]|$)", re.I | re.A) for name in RAW}
 #: Open elements that an opening tag ends, up to the given border.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -60,7 +61,7 @@ class Tree:
     def _build(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]  # inline elements are on it too, with their block's node
         run: list[str] = []
-        linked, anchors, at, lower = 0, 0, 0, None
+        linked, anchors, at = 0, 0, 0
 
         def flush() -> None:
             nonlocal linked
@@ -115,11 +116,9 @@ class Tree:
                 continue
             attributes = m[3] if m[2] else m[5] or ""
             if name in RAW:
-                if lower is None:
-                    lower = source.lower()
                 if not attributes.endswith("/"):
-                    end = lower.find(f"</{name}", at)
-                    at = len(source) if end < 0 else end
+                    end = _RAW_END[name].search(source, at)
+                    at = end.start() if end else len(source)
                 continue
             if name in INLINE:
                 if name in ("br", "wbr", "img"):

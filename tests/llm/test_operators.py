@@ -570,6 +570,18 @@ def test_marginals_match_enumeration(page_model):
     assert np.allclose(html_text.marginals(tree, page_model), on / total)
 
 
+def test_text_around_raw_elements():
+    def texts(source):
+        tree = html_text.Tree(source)
+        return [x for x, tag in zip(tree.text, tree.tag, strict=True) if tag == html_text.TEXT]
+
+    assert texts("<p>\u0130\u0130\u0130<script>x</SCRIPT>abcdef</p>") == ["\u0130\u0130\u0130abcdef"]
+    assert texts("<p>a<style>x</styles></style>b</p>") == ["ab"]
+    for name in ("math", "object", "svg", "select", "template"):
+        assert " ".join(texts(f"<p>one</p><{name}>two<p>three</p>")) == "one two three"
+    assert " ".join(texts("<p>so <math><mi>x</mi></math> holds</p>")).split() == ["so", "x", "holds"]
+
+
 def test_pages_hard_rows(spark, page_model):
     broken = ["", None, "   ", "plain text only", "<", "<p", "<p><b>x", "</div></p>", "<a href='", "<script>", "<!-- ", "<div " * 2000, "<p>" + "word " * 50000, PAGE, PAGE]
     frame = spark.createDataFrame([(i, None, h, 1) for i, h in enumerate(broken)], "page_id long, url string, html string, text int")
