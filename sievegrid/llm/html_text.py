@@ -148,7 +148,7 @@ class Tree:
                 gold = int(value)
             else:
                 names.update(_NAME.findall(_CAMEL.sub(" ", value).lower()))
-        return tuple(sorted(names))[:20], gold
+        return tuple(sorted(names)), gold
 
     def features(self) -> list[list[str]]:
         """For each node: names of what holds for it."""

@@ -582,6 +582,12 @@ def test_text_around_raw_elements():
     assert " ".join(texts("<p>so <math><mi>x</mi></math> holds</p>")).split() == ["so", "x", "holds"]
 
 
+def test_all_names_of_an_element_count():
+    words = [f"b{chr(97 + i)}" for i in range(25)]
+    tree = html_text.Tree(f"<div class='{' '.join(words)} sidebar'><p>x</p></div>")
+    assert tree.names[1] == (*words, "sidebar")
+
+
 def test_pages_hard_rows(spark, page_model):
     broken = ["", None, "   ", "plain text only", "<", "<p", "<p><b>x", "</div></p>", "<a href='", "<script>", "<!-- ", "<div " * 2000, "<p>" + "word " * 50000, PAGE, PAGE]
     frame = spark.createDataFrame([(i, None, h, 1) for i, h in enumerate(broken)], "page_id long, url string, html string, text int")
