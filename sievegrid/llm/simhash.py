@@ -11,6 +11,14 @@ are linked without making pairs of a bucket: each emits itself and its one-bit c
 the positions that its colliding tables leave free. Two fingerprints differ in at most two
 positions exactly if these sets meet, and all that meet in one value are linked to the
 smallest of them, so that work and links grow with the number of fingerprints.
+
+At a shingle similarity of 0.8, fingerprints of 64 bits differ in some 10 positions, and
+covering so many would take thousands of tables. Where near copies by similarity are asked for
+(near_links, and so keep_first), they are thus brought together by minima of their shingle
+hashes instead: BANDS keys of ROWS minima each, of which a pair at similarity s shares none with
+probability (1 - s^ROWS)^BANDS (6e-5 at 0.8). Every candidate is verified by the exact Jaccard
+similarity of its sets of shingles. First all that share a key are compared with the smallest
+of them; then all pairs of a key that are not yet in one component are, whatever the key's size.
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from sievegrid.llm.common import connected_components, materialize, table
 
@@ -28,6 +36,11 @@ RADIUS = 2
 BITS = 64
 SEED = 42
 SHINGLE = 3
+#: Near copies by similarity: words of a shingle, the least similarity, and the keys that bring pairs together.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 32, 6
+_BLOCK = 512
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signed(x: int) -> int:
@@ -42,17 +55,42 @@ def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
     ]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash over XXH64 of word shingles; see op3's contract. No word: zero."""
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle (of all words if they are fewer), as big-endian bytes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     if len(words) >= shingle:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     else:
-        grams = [b" ".join(words)]
+        grams = [b" ".join(words)] if words else []
     digest = xxhash.xxh64_digest
-    raw = np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint8)
+
+
+def shingles(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The sorted set of the hashes of a text's shingles."""
+    return np.unique(_hashes(text, shingle).view(">u8").astype(np.uint64))
+
+
+def near_keys(grams: np.ndarray) -> np.ndarray:
+    """One key for each band of minima."""
+    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for at in range(0, len(grams), _BLOCK):
+        least = np.minimum(least, (grams[at : at + _BLOCK, None] * _FACTORS[0]).min(axis=0))
+    least = (least ^ (least >> np.uint64(32))).reshape(BANDS, ROWS)
+    return ((least * _FACTORS[1].reshape(BANDS, ROWS)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1) if len(a) or len(b) else 1.0
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash over XXH64 of word shingles; see op3's contract. No word: zero."""
+    raw = _hashes(text, shingle).reshape(-1, 8)
+    if not len(raw):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(raw), 65536):
         ones += np.unpackbits(raw[at : at + 65536], axis=1).sum(0, dtype=np.int64)
@@ -97,10 +135,68 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return ball.join(met, "near").where("fp != a").select("a", F.col("fp").alias("b")).distinct()
 
 
-def components(marks: DataFrame) -> DataFrame:
-    """(doc_id, fp) -> (doc_id, fp, component_id): the smallest id reachable by links, itself included."""
+_MARK = StructType([StructField("fp", LongType()), StructField("set", LongType()), StructField("size", IntegerType()), StructField("keys", ArrayType(LongType()))])
+
+
+def _set_id(grams: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
+
+
+@F.pandas_udf(_MARK)
+def _marks(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t in texts:
+        grams = shingles(t)
+        rows.append((signed(fingerprint(t)), _set_id(grams), len(grams), near_keys(grams)))
+    return pd.DataFrame(rows, columns=["fp", "set", "size", "keys"])
+
+
+@F.pandas_udf(LongType())
+def _sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([_set_id(shingles(t)) for t in texts], dtype="int64")
+
+
+@F.pandas_udf(BooleanType())
+def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([similarity(shingles(x), shingles(y)) >= SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def near_links(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Links (a, b) of sets of shingles whose components are those of all verified pairs of SIMILARITY or more.
+
+    marks has the columns of _marks for each row of docs (text). Sets that share a key are candidates.
+    """
+    keyed = marks.where("size > 0").groupBy("set").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    keyed = keyed.select("set", "size", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("set", "size")).alias("least")).where("n > 1").select("key", "least")
+    met = materialize(keyed.join(shared, "key").select("key", "set", "size", "least"))
+    wanted = met.select("set").distinct()
+    texts = docs.select("text", _sets("text").alias("set")).join(wanted, "set", "left_semi").groupBy("set").agg(F.first("text").alias("text"))
+    texts = materialize(texts)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where(f"least(m, n) >= {SIMILARITY} * greatest(m, n)").select("a", "b").distinct()
+        both = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("set").alias("b"), F.col("text").alias("y")), "b")
+        return materialize(both.where(_similar("x", "y")).select("a", "b"))
+
+    first = verified(met.where("set != least.set").select(F.col("least.set").alias("a"), F.col("least.size").alias("m"), F.col("set").alias("b"), F.col("size").alias("n")))
+    found = connected_components(first)
+    rooted = met.join(found.select(F.col("node").alias("set"), "component"), "set", "left").select("key", "set", "size", F.coalesce("component", "set").alias("root"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    rest = materialize(rooted.join(open_, "key", "left_semi"))
+    left = rest.select("key", F.col("set").alias("a"), F.col("size").alias("m"), F.col("root").alias("r"))
+    right = rest.select("key", F.col("set").alias("b"), F.col("size").alias("n"), F.col("root").alias("s"))
+    return first.unionAll(verified(left.join(right, "key").where("a < b and r != s")))
+
+
+def components(marks: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(doc_id, fp) -> (doc_id, fp, component_id): the smallest id reachable by links, itself included.
+
+    links (a, b) of fingerprints come on top of those within the radius.
+    """
     distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(fingerprint_links(distinct.select("fp")))
+    near = fingerprint_links(distinct.select("fp"))
+    found = connected_components(near if links is None else near.unionAll(links))
     rooted = distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
@@ -123,9 +219,17 @@ def simhash_near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest id of each group of near copies; rows with a null id stay."""
-    marks = materialize(fingerprints(docs.select("doc_id", "text")))
-    dropped = components(marks).where("doc_id != component_id").select("doc_id").distinct()
+    """docs without all but the smallest id of each group of near copies; rows with a null id stay.
+
+    Near copies are texts whose fingerprints are within the radius, and texts whose sets of
+    five-word shingles have a similarity of SIMILARITY or more.
+    """
+    marks = materialize(docs.select("doc_id", _marks("text").alias("x")).select("doc_id", "x.*"))
+    named = marks.groupBy("set").agg(F.min("fp").alias("fp"))
+    alike = marks.select("set", F.col("fp").alias("b")).join(named.select("set", F.col("fp").alias("a")), "set").where("a != b").select("a", "b")
+    near = near_links(docs, marks)
+    near = near.join(named.select(F.col("set").alias("a"), F.col("fp").alias("p")), "a").join(named.select(F.col("set").alias("b"), F.col("fp").alias("q")), "b").select("p", "q")
+    dropped = components(marks.select("doc_id", "fp"), alike.unionAll(near)).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -104,6 +104,26 @@ def test_simhash_hard_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 4, 5, 7, 8]
 
 
+def test_edited_copies_are_dropped(spark):
+    r = random.Random(9)
+    base = [prose(1000 + i, 120).split() for i in range(12)]
+    rows = []
+    for i, words in enumerate(base):
+        rows.append((i * 10, " ".join(words), "en", "s"))
+        for k in range(1, 4):  # the last is an edit of an edit
+            words = list(words)
+            words[r.randrange(10, 110)] = f"edit{i}x{k}"
+            rows.append((i * 10 + k, " ".join(words), "en", "s"))
+    rows += [(900 + i, prose(5000 + i, 3 + i), "en", "s") for i in range(20)]
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t, *_ in rows}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = union_find(pairs, sets)
+    kept = {x["doc_id"] for x in simhash.keep_first(documents(spark, rows)).collect()}
+    assert kept == {i for i in root if root[i] == i} and len(kept) == 32
+    a, b = simhash.shingles(rows[0][1]), simhash.shingles(rows[1][1])
+    assert np.isclose(simhash.similarity(a, b), len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
+
+
 # --- Language
 
 
