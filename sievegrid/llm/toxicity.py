@@ -79,12 +79,11 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(f, e, high - low) for f, e, low, high in stack]
 
 
-def _lambda(scores: np.ndarray) -> float:
-    """The positive root of mean(exp(lambda s)) = 1; 1 where the scores have none."""
-    if not len(scores) or scores.max() <= 0 or scores.mean() >= 0:
+def _lambda(value: np.ndarray, count: np.ndarray) -> float:
+    """The positive root of mean(exp(lambda s)) = 1 over the scores `value`, each `count` times; 1 where they have none."""
+    if not len(value) or value.max() <= 0 or (value * count).sum() >= 0:
         return 1.0
     low, high = 1e-6, 1.0
-    value, count = np.unique(scores, return_counts=True)
     weight = count / count.sum()
     while (weight * np.exp(high * value)).sum() < 1 and high < 64:
         high *= 2
@@ -216,7 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     clean = frame[frame["label"] == 0]
     gains = np.concatenate([np.zeros(0), *clean["gains"]])
     losses = int(clean["n"].sum()) - len(gains)
-    model["lambda"] = lam = _lambda(np.concatenate([gains, np.full(min(losses, 5_000_000), -LOSS)])) if losses else 1.0
+    value, count = np.unique(gains, return_counts=True)
+    model["lambda"] = lam = _lambda(np.append(value, -LOSS), np.append(count, losses)) if losses else 1.0
     top = np.array([max(s, default=0.0) for s in clean["segments"]])
     hit = top > 0
     size = np.log(np.maximum(clean["n"].to_numpy(float), 1))

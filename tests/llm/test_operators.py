@@ -225,6 +225,11 @@ def test_segments_are_maximal():
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_lambda_takes_all_losses():
+    lam = toxicity._lambda(np.array([2.0, -toxicity.LOSS]), np.array([3_000_000, 90_000_000]))
+    assert lam != 1 and np.isclose(3 * np.exp(2 * lam) + 90 * np.exp(-toxicity.LOSS * lam), 93, rtol=1e-6)
+
+
 def test_toxicity_learns(spark):
     bad = ["vilewurd", "nastyterm", "uglyname"]
     r = random.Random(5)
