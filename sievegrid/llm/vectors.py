@@ -7,8 +7,12 @@ Every cluster's members get a graph by robust pruning (an edge is dropped if a k
 neighbour is ALPHA times nearer to its end), and the adjacency lists that a representative
 has in several clusters are united.
 
-Search: every representative is sent to its nearest clusters and to all whose centroid is so
-near that links may lie there. There a greedy beam search goes from the medoid to the query's
+Search: every representative is sent to its nearest clusters and to all that may be the first
+cluster of a link: a link that is nearer to centroid c than to c' lies on c's side of the plane
+between them, so its query is at most arccos(THRESHOLD) beyond that plane. This leaves no
+neighbour out; where vectors are spread evenly it leaves out few clusters, and the work of a
+label grows with its square. The clusters beyond the nearest ones are searched exhaustively in
+blocks. In the nearest ones a greedy beam search goes from the medoid to the query's
 surroundings, and the range is expanded along edges until no new vector within the slack is
 found; every found pair is verified by its cosine in double precision. Some queries of each
 cluster are audited against all its members, and a cluster whose audit falls short is
@@ -37,6 +41,8 @@ TARGET = 1000
 SAMPLE = 20_000
 CENTROIDS = 8192
 CLOSEST, PROBES = 2, 3
+#: Nearest centroids of a query whose planes tell which clusters can hold a link.
+RIVALS = 8
 MEMBERS, QUERIES = 4000, 20_000
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 48
 AUDIT, AUDIT_RECALL = 24, 0.99
@@ -181,6 +187,7 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
     member = frame["near"].notna().to_numpy() & frame["mine"].to_numpy()
     mine, asked = frame[member], frame[frame["asks"].to_numpy()]
     ids, x = mine["rid"].to_numpy(), _unit(mine["embedding"]) if len(mine) else None
+    asked = asked.sort_values("probe", ascending=False, kind="stable")
     out_ids = asked["rid"].to_numpy()
     if not len(mine) or not len(asked):
         return pd.DataFrame({"rid": out_ids, "found": np.zeros(len(out_ids), np.int64), "root": out_ids})
@@ -189,10 +196,13 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
     radius = THRESHOLD
     graph = _adjacency(ids, mine["near"].tolist())
     step = max(1, min(_BLOCK, 4_000_000 // len(ids)))
-    pick = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
-    truth = q[pick] @ x.T >= radius
-    caught = range_search(q[pick], x, graph, radius)
-    exhaustive = (caught & truth).sum() < AUDIT_RECALL * truth.sum()
+    probes = int(asked["probe"].sum())  # the first so many go by the graph
+    if probes:
+        pick = np.linspace(0, probes - 1, min(AUDIT, probes)).astype(int)
+        truth = q[pick] @ x.T >= radius
+        caught = range_search(q[pick], x, graph, radius)
+        if (caught & truth).sum() < AUDIT_RECALL * truth.sum():
+            probes = 0
     found = np.zeros(len(q), np.int64)
     # local components: labels are positions among members, then queries not among them
     position = {r: k for k, r in enumerate(ids.tolist())}
@@ -207,10 +217,10 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
             k = root[k]
         return k
 
-    for at in range(0, len(q), step):
-        block = q[at : at + step]
-        hit = block @ x.T >= radius if exhaustive else range_search(block, x, graph, radius)
-        found[at : at + step] = hit @ weight
+    for at in [*range(0, probes, step), *range(probes, len(q), step)]:
+        block = q[at : min(at + step, probes) if at < probes else at + step]
+        hit = range_search(block, x, graph, radius) if at < probes else block @ x.T >= radius
+        found[at : at + len(block)] = hit @ weight
         for k in range(len(block)):
             linked = np.flatnonzero(hit[k])
             if len(linked):
@@ -225,8 +235,21 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rid": out_ids, "found": found, "root": names[top]})
 
 
+def can_hold_links(cos: np.ndarray, order: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Boolean (query, cluster): whether a vector with this first cluster can be a link of the query.
+
+    cos are the queries' cosines to the unit centroids c, order their places from the nearest on.
+    """
+    may = np.ones(cos.shape, bool)
+    beyond = float(np.sin(np.arccos(THRESHOLD)))
+    for rival in order[:, :RIVALS].T:
+        gap = np.sqrt(np.maximum(2 - 2 * (c[rival] @ c.T), 0))
+        may &= np.take_along_axis(cos, rival[:, None], 1) - cos <= beyond * gap + 1e-7
+    return may
+
+
 def _routes(model: dict):
-    kind = ArrayType(StructType([StructField("cluster", IntegerType()), StructField("mine", BooleanType()), StructField("first", BooleanType())]))
+    kind = ArrayType(StructType([StructField("cluster", IntegerType()), *(StructField(c, BooleanType()) for c in ("mine", "first", "probe"))]))
     within = float(np.cos(np.arccos(THRESHOLD) + np.radians(10)))
 
     @F.pandas_udf(kind)
@@ -236,13 +259,16 @@ def _routes(model: dict):
             c = model.get((int(key[0]), int(key[1])))
             if c is None:
                 for i in at:
-                    out[i] = [{"cluster": 0, "mine": True, "first": True}]
+                    out[i] = [{"cluster": 0, "mine": True, "first": True, "probe": True}]
                 continue
-            cos = _unit(embedding.iloc[at]) @ c.T
-            order = np.argsort(-cos, axis=1, kind="stable")
-            for i, row, o in zip(at, cos, order, strict=True):
-                n = max(PROBES, int((row >= within).sum()))
-                out[i] = [{"cluster": int(k), "mine": r < CLOSEST, "first": r == 0} for r, k in enumerate(o[:n])]
+            for low in range(0, len(at), _BLOCK):
+                part = at[low : low + _BLOCK]
+                cos = _unit(embedding.iloc[part]) @ c.T
+                order = np.argsort(-cos, axis=1, kind="stable")
+                may = can_hold_links(cos, order, c)
+                for i, row, o, m in zip(part, cos, order, may, strict=True):
+                    n = max(PROBES, int((row >= within).sum()))
+                    out[i] = [{"cluster": int(k), "mine": r < CLOSEST, "first": r == 0, "probe": r < n} for r, k in enumerate(o) if r < n or m[k]]
         return pd.Series(out)
 
     return routes
@@ -279,7 +305,7 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
                 model[(int(label), int(dim))] = centroids(_unit(part["embedding"]), k)
     routed = materialize(
         reps.select("rid", "label", "dim", "n", "embedding", F.explode(_routes(model)("label", "dim", "embedding")).alias("r"))
-        .select("rid", "label", "dim", "n", "embedding", "r.cluster", "r.mine", "r.first")
+        .select("rid", "label", "dim", "n", "embedding", "r.cluster", "r.mine", "r.first", "r.probe")
     )
     place = ["label", "dim", "cluster"]
     sizes = routed.groupBy(*place).agg(
@@ -290,7 +316,7 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     lists = routed.where("mine").select(*cell, "rid", "embedding").groupBy(*cell).applyInPandas(_build, "rid long, near array<long>")
     united = lists.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     side = F.pmod(F.shiftright("rid", 20), F.col("sides")).cast("int")
-    columns = [*cell, "side", "rid", "n", "embedding", "first", "near", "mine", "asks"]
+    columns = [*cell, "side", "rid", "n", "embedding", "first", "near", "mine", "asks", "probe"]
     # a member is in its own part for all sides, a query in its own side for all parts
     members = (
         routed.where("mine").join(united, "rid").withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))

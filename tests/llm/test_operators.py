@@ -465,6 +465,18 @@ def test_vector_links_match_brute_force(spark, target, monkeypatch):
     assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in range(900, 908))
 
 
+def test_no_link_is_lost_between_many_clusters(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TARGET", 12)
+    r = np.random.default_rng(11)
+    base = r.normal(size=(300, 24))
+    base = np.vstack([base, *(base + r.normal(size=base.shape) * 0.27 for _ in range(2))])
+    rows = [(i, [float(v) for v in np.float32(x)], 0) for i, x in enumerate(base)]
+    out = {x["vec_id"]: x for x in vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    links, component = brute_links(rows)
+    assert sum(links.values()) > 200
+    assert all(out[i]["n_links"] == links[i] and out[i]["component_id"] == component[i] for i in out)
+
+
 def test_split_clusters_are_whole(spark, monkeypatch):
     monkeypatch.setattr(vectors, "MEMBERS", 30)
     monkeypatch.setattr(vectors, "QUERIES", 25)
