@@ -555,7 +555,7 @@ def review_sample(spark, sf):
 def text_classifier(spark, sf):
     """Who speaks in a conversation turn, learned from the even conversations and predicted for all turns."""
     rows = views.table(spark, sf, "conversations").where("text is not null and role is not null").select("conv_id", "turn", "role", "text")
-    fitted = model.fit(rows.where("conv_id % 2 = 0"), "text", "role", settings=model.Settings(iterations=30, vocabulary=5000))
+    fitted = model.fit(rows.where("conv_id % 2 = 0"), "text", "role")
     return fitted.predict(rows, "text").select("conv_id", "turn", "role", "predicted", "probabilities")
 
 

@@ -67,3 +67,16 @@ def test_trees_and_checks(spark, rows):
     bad = spark.createDataFrame([(1, "x", "food", [1.0])], rows.schema)
     with pytest.raises(PySparkException):
         m.predict(bad, "text", "numbers").collect()
+
+
+def test_registered_query_takes_the_operators_settings(spark, monkeypatch):
+    from sievegrid.operators import model
+    from sievegrid.plans import registry
+
+    def seen(*_, settings=None, **__):
+        raise StopIteration(settings or model.Settings())
+
+    monkeypatch.setattr(model, "fit", seen)
+    with pytest.raises(StopIteration) as stopped:
+        registry.queries()["text_classifier"](spark, "/root/testdata/sf0.001")
+    assert stopped.value.value == model.Settings() and stopped.value.value.vocabulary == 20_000
