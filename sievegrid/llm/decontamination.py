@@ -5,6 +5,8 @@ divided by the item's score for itself, so that 1 is a passage with all of the i
 Items lie in blocks, and each posting keeps a word's highest weight in a block. Every passage
 of every document is a query, at the lengths that the items have: cells of L words for items
 of up to L, two neighbouring cells a passage, so that an item lies wholly in one of them.
+Numbers of items, document frequencies and the mean length are those of all items, in however
+many indexes they lie.
 
 As in block-max WAND, the words whose highest weights can't together reach the threshold are
 not essential: they only add their bound. A passage is scored against a block's items only if
@@ -19,7 +21,9 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import batched, repeat
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from sievegrid.llm.common import table
+from sievegrid.llm.common import materialize, table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -37,8 +41,9 @@ MOST_SUMS = 1 << 21
 FIVE = 5
 OVERLAP = 0.8
 PART_OVERLAP = 0.5
-#: An index is broadcast; beyond this size of the items' texts there are several, one after the other.
+#: An index is broadcast; beyond this size of the items' texts there are several, and so many are searched in one pass over the documents.
 INDEX_BYTES = 16 << 20
+TOGETHER = 4
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -60,15 +65,17 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
 
 
 class Index:
-    """The items of one index by length class; built on the driver, of size INDEX_BYTES at most."""
+    """Some of the items by length class; built on the driver, of size INDEX_BYTES at most.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    n, tokens and df (items that hold a word) are those of all items of all indexes.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], n: int, tokens: int, df: dict[str, int]):
         kept = sorted(((i, words(t), *question_and_answer(t)) for i, t in items if words(t)), key=lambda x: (len(x[1]), str(x[0])))
         self.items = kept
-        df = Counter(w for _, ws, _, _ in kept for w in set(ws))
-        self.ids = {w: k for k, w in enumerate(df)}
-        n, mean = len(kept), sum(len(ws) for _, ws, _, _ in kept) / max(len(kept), 1)
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+        self.ids = {w: k for k, w in enumerate(sorted({w for _, ws, _, _ in kept for w in ws}))}
+        mean = tokens / max(n, 1)
+        idf = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in self.ids}
         self.shingles = [shingles([self.ids[w] for w in ws]) for _, ws, _, _ in kept]
         self.parts = [({self.ids[w] for w in q}, {self.ids[w] for w in a}) for _, _, q, a in kept]
         sizes = defaultdict(list)
@@ -112,11 +119,12 @@ class Index:
     def _survivors(self, c: dict, cell: np.ndarray, t: np.ndarray) -> Iterator[tuple[int, int]]:
         """(cell, block) where the block maxima of the words of this cell and the next reach what is needed.
 
-        cell is sorted. Long texts go by ranges of cells, so that the table of sums stays small.
+        cell is sorted. The passage that ends in the first cell with an essential word begins in the
+        cell before it. Long texts go by ranges of cells, so that the table of sums stays small.
         """
         nb = c["blocks"]
         step = max(1, MOST_SUMS // nb)
-        for low in range(int(cell[0]), int(cell[-1]) + 1, step):
+        for low in range(max(int(cell[0]) - 1, 0), int(cell[-1]) + 1, step):
             here = slice(*np.searchsorted(cell, (low, low + step + 1)))
             part, count = t[here], c["count"][t[here]]
             if not len(part):
@@ -167,16 +175,42 @@ class Index:
         return [(self.items[k][0], *x) for k, x in sorted(found.items())]
 
 
-def indexes(benchmark: DataFrame, most_bytes: int = INDEX_BYTES) -> Iterator[Index]:
-    """Indexes over all items (item_id, text), each of at most about most_bytes of text."""
-    items = benchmark.where("text is not null").select("item_id", "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def statistics(items: list[str]) -> tuple[int, int, dict[str, int]]:
+    """Items with words, their words, and for each word the items that hold it."""
+    all_words = [w for w in map(words, items) if w]
+    return len(all_words), sum(map(len, all_words)), Counter(x for w in all_words for x in set(w))
+
+
+def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each part and word: the items that hold it; the word '' has the items with words and their words."""
+    for f in frames:
+        for part, rows in f.groupby("part"):
+            n, tokens, df = statistics(rows["text"].tolist())
+            names = ["", *df]
+            yield pd.DataFrame({"part": part, "word": names, "n": [n, *df.values()], "tokens": [tokens] + [0] * len(df)})
+
+
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, key): the key names the item's text, so that a repeated text is searched once."""
+    return benchmark.where("text is not null").select("item_id", F.xxhash64("text", F.octet_length("text")).alias("key"), "text")
+
+
+def indexes(items: DataFrame, most_bytes: int = INDEX_BYTES) -> Iterator[Index]:
+    """Indexes over all distinct texts of items (key, text), each of at most about most_bytes of text."""
+    texts = items.groupBy("key").agg(F.min("text").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / most_bytes))
+    texts = materialize(texts.withColumn("part", F.pmod("key", F.lit(parts)).cast("int")))
+    counted = materialize(texts.mapInPandas(_counted, "part int, word string, n long, tokens long"))
+    n, tokens = counted.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    df = counted.where("word != ''").groupBy("word").agg(F.sum("n").alias("n"))
     for k in range(parts):
-        yield Index([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()])
+        mine = texts.where(F.col("part") == k).select("key", "text").collect()
+        of = df.join(counted.where(F.col("part") == k).select("word").distinct(), "word", "left_semi").toPandas()
+        yield Index([tuple(r) for r in mine], n, tokens, dict(zip(of["word"], of["n"].tolist(), strict=True)))
 
 
-_HIT = StructType([StructField("item_id", LongType()), StructField("bm25", DoubleType()), StructField("overlap", DoubleType()), StructField("verified", BooleanType())])
+_HIT = StructType([StructField("key", LongType()), StructField("bm25", DoubleType()), StructField("overlap", DoubleType()), StructField("verified", BooleanType())])
 
 
 def _hits(shared):
@@ -200,21 +234,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, bm25, overlap) of each document row and test item that it contains.
 
     Rows without text or without words, and items without words, match nothing; repeated rows
-    each give their rows, repeated items theirs. An item of fewer than five words must occur
-    as a whole. Only doc_id, item_id and the texts are read.
+    each give their rows, repeated items theirs; ties do not arise, as every item found counts.
+    An item of fewer than five words must occur as a whole. Very long texts are searched whole,
+    by ranges of cells. An empty table gives no rows. Only doc_id, item_id and the texts are read.
     """
+    items = distinct_items(benchmark)
     found = None
-    for index in indexes(benchmark):
-        hits = _hits(docs.sparkSession.sparkContext.broadcast(index))
-        part = docs.select("doc_id", F.explode(hits("text")).alias("h")).select("doc_id", "h.item_id", "h.bm25", "h.overlap")
+    for group in batched(indexes(items), TOGETHER):
+        hits = [_hits(docs.sparkSession.sparkContext.broadcast(index)) for index in group]
+        part = docs.select("doc_id", F.explode(F.concat(*[h("text") for h in hits])).alias("h")).select("doc_id", "h.key", "h.bm25", "h.overlap")
         found = part if found is None else found.unionAll(part)
-    return found
+    return found.join(items.select("item_id", "key"), "key").select("doc_id", "item_id", "bm25", "overlap")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that contain a test item."""
-    for index in indexes(benchmark):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(index))("text"))
+    for group in batched(indexes(distinct_items(benchmark)), TOGETHER):
+        clean = [_clean(docs.sparkSession.sparkContext.broadcast(index))("text") for index in group]
+        docs = docs.where(reduce(and_, clean))
     return docs
 
 

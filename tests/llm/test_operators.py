@@ -305,17 +305,43 @@ def test_contamination_in_parts_and_hard_rows(spark, monkeypatch):
     docs = documents(spark, HARD)
     want = sorted((str(x["doc_id"]), x["item_id"]) for x in decontamination.contamination(docs, bench).collect())
     assert want == [("4", 2), ("4", 2), ("5", 1), ("6", 1), ("6", 1), ("None", 1)]
-    parts = list(decontamination.indexes(bench, most_bytes=8))
-    assert len(parts) > 1 and sum(len(p.items) for p in parts) == 3
+    items = decontamination.distinct_items(bench)
+    parts = list(decontamination.indexes(items, most_bytes=4))
+    assert len(parts) > 1 and sum(len(p.items) for p in parts) == 2
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contamination(docs, empty).count() == 0
+    assert decontamination.contamination(documents(spark, []), bench).count() == 0
     assert decontamination.drop_contaminated(docs, empty).count() == len(HARD)
     monkeypatch.setattr(decontamination, "MOST_SUMS", 2)
-    index = decontamination.Index([(i, prose(i, 12)) for i in range(9)])
+    texts = [prose(i, 12) for i in range(9)]
+    index = decontamination.Index(list(enumerate(texts)), *decontamination.statistics(texts))
     text = " ".join([prose(77, 500), prose(4, 12), prose(78, 300)])
     assert [h[0] for h in index.search(text) if h[3]] == [4]
 
 
+def test_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    items = [(i, prose(500 + i // 2, 10 + i // 2)) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"{prose(i, 20 + i)} {items[i][1]} {prose(i + 99, 15)}", "en", "s") for i in range(40)]
+    found = []
+    for most in (1 << 20, 900):
+        monkeypatch.setattr(decontamination.indexes, "__defaults__", (most,))
+        found.append(sorted(tuple(r) for r in decontamination.contamination(documents(spark, rows), bench).collect()))
+    assert len(found[0]) >= 80 and found[0] == found[1]
+
+
+def test_items_are_found_at_every_offset():
+    opening = "which of the following statements about this topic is"
+    items = [f"{opening} {prose(3000 + i, 6 + i)} as given" if i % 2 else prose(3000 + i, 4 + 2 * i) for i in range(30)]
+    index = decontamination.Index(list(enumerate(items)), *decontamination.statistics(items))
+    common = opening.split()
+    for k, item in enumerate(items):
+        for at in range(0, 2 * max(16, 1 << len(item.split()).bit_length()) + 1):
+            before = [prose(at * 31 + j, 1) if j % 3 else common[j % len(common)] for j in range(at)]
+            text = " ".join([*before, item, prose(at + 7, at % 5)])
+            assert k in [h[0] for h in index.search(text) if h[3]], (k, at)
+
+
 # --- Sharding
 
 
