@@ -17,12 +17,17 @@ covering so many would take thousands of tables. Where near copies by similarity
 (near_links, and so keep_first), they are thus brought together by minima of their shingle
 hashes instead: BANDS keys of ROWS minima each, of which a pair at similarity s shares none with
 probability (1 - s^ROWS)^BANDS (6e-5 at 0.8). Every candidate is verified by the exact Jaccard
-similarity of its sets of shingles. First all that share a key are compared with the smallest
-of them; then all pairs of a key that are not yet in one component are, whatever the key's size.
+similarity of its sets of shingles. Each key has a centre drawn by hash; all that share the key
+are compared with it, for FIRST of the keys and then, where no link joins them yet, for the
+others. What is then still apart is compared in cells of bounded size: the sets outside of a
+key's largest component with all sets of the key, whatever its size. Only links leave a cell,
+one for each set and component.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -39,6 +44,10 @@ SHINGLE = 3
 #: Near copies by similarity: words of a shingle, the least similarity, and the keys that bring pairs together.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
+#: Keys whose centres are compared first; sets a side of a cell; shingle sets that a task keeps.
+FIRST = 8
+OUTSIDE, INSIDE = 256, 1024
+_KEPT = 256
 _BLOCK = 512
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -138,65 +147,106 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 _MARK = StructType([StructField("fp", LongType()), StructField("set", LongType()), StructField("size", IntegerType()), StructField("keys", ArrayType(LongType()))])
 
 
-def _set_id(grams: np.ndarray) -> int:
-    return signed(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
-
-
 @F.pandas_udf(_MARK)
 def _marks(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for t in texts:
         grams = shingles(t)
-        rows.append((signed(fingerprint(t)), _set_id(grams), len(grams), near_keys(grams)))
-    return pd.DataFrame(rows, columns=["fp", "set", "size", "keys"])
-
-
-@F.pandas_udf(LongType())
-def _sets(texts: pd.Series) -> pd.Series:
-    return pd.Series([_set_id(shingles(t)) for t in texts], dtype="int64")
+        rows.append((signed(fingerprint(t)), signed(xxhash.xxh64_intdigest(grams.tobytes(), SEED)), len(grams), near_keys(grams)))
+    return pd.DataFrame(rows, columns=_MARK.names)
 
 
 @F.pandas_udf(BooleanType())
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(shingles(x), shingles(y)) >= SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
+def _similar(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    kept: dict[int, np.ndarray] = {}
+
+    def grams(key: int, text: str) -> np.ndarray:
+        if key not in kept:
+            if len(kept) >= _KEPT:
+                kept.clear()
+            kept[key] = shingles(text)
+        return kept[key]
+
+    for a, b, x, y in batches:
+        yield pd.Series([similarity(grams(*p), grams(*q)) >= SIMILARITY for p, q in zip(zip(a, x, strict=True), zip(b, y, strict=True), strict=True)], dtype=bool)
+
+
+def _across(cell: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) of the outside sets of a cell: one to each other component that holds a similar set."""
+    outside, inside = cell[cell["outside"]], cell[~cell["outside"]]
+    out = []
+    if len(outside) and len(inside):
+        sets = [shingles(t) for t in inside["text"]]
+        size = np.array([len(x) for x in sets])
+        grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], owner[order]
+        ids, roots = inside["set"].to_numpy(), inside["root"].to_numpy()
+        for a, root, text in zip(outside["set"], outside["root"], outside["text"], strict=True):
+            mine = shingles(text)
+            low, high = np.searchsorted(grams, mine, "left"), np.searchsorted(grams, mine, "right")
+            count = high - low
+            at = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            found = np.flatnonzero((both >= SIMILARITY * (len(mine) + size - both)) & (roots != root))
+            _, first = np.unique(roots[found], return_index=True)
+            out += [(a, b) for b in ids[found[first]].tolist()]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _text_hash():
+    return F.xxhash64("text", F.octet_length("text"))
 
 
 def near_links(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Links (a, b) of sets of shingles whose components are those of all verified pairs of SIMILARITY or more.
 
-    marks has the columns of _marks for each row of docs (text). Sets that share a key are candidates.
+    marks has (hash, set, size, keys) of the rows of docs (text), hash naming the text. Sets that
+    share a key are candidates.
     """
-    keyed = marks.where("size > 0").groupBy("set").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
-    keyed = keyed.select("set", "size", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("set", "size")).alias("least")).where("n > 1").select("key", "least")
-    met = materialize(keyed.join(shared, "key").select("key", "set", "size", "least"))
-    wanted = met.select("set").distinct()
-    texts = docs.select("text", _sets("text").alias("set")).join(wanted, "set", "left_semi").groupBy("set").agg(F.first("text").alias("text"))
-    texts = materialize(texts)
+    sets = marks.where("size > 0").groupBy("set").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min("hash").alias("hash"))
+    keyed = sets.select("set", "size", "hash", F.posexplode("keys").alias("band", "key"))
+    centre = F.min(F.struct(F.xxhash64("key", "set").alias("h"), "set", "size")).alias("c")
+    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), centre).where("n > 1").select("key", F.col("c.set").alias("centre"), F.col("c.size").alias("least")))
+    met = materialize(keyed.join(shared, "key"))
+    wanted = met.select("set", "hash").distinct()
+    texts = docs.select("text", _text_hash().alias("hash")).join(wanted, "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text"))
+    texts = materialize(wanted.join(texts, "hash").select("set", "text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where(f"least(m, n) >= {SIMILARITY} * greatest(m, n)").select("a", "b").distinct()
         both = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("set").alias("b"), F.col("text").alias("y")), "b")
-        return materialize(both.where(_similar("x", "y")).select("a", "b"))
-
-    first = verified(met.where("set != least.set").select(F.col("least.set").alias("a"), F.col("least.size").alias("m"), F.col("set").alias("b"), F.col("size").alias("n")))
-    found = connected_components(first)
-    rooted = met.join(found.select(F.col("node").alias("set"), "component"), "set", "left").select("key", "set", "size", F.coalesce("component", "set").alias("root"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    rest = materialize(rooted.join(open_, "key", "left_semi"))
-    left = rest.select("key", F.col("set").alias("a"), F.col("size").alias("m"), F.col("root").alias("r"))
-    right = rest.select("key", F.col("set").alias("b"), F.col("size").alias("n"), F.col("root").alias("s"))
-    return first.unionAll(verified(left.join(right, "key").where("a < b and r != s")))
-
+        return materialize(both.where(_similar("a", "b", "x", "y")).select("a", "b"))
+
+    def named(df: DataFrame, found: DataFrame, column: str, root: str) -> DataFrame:
+        """df with the component of the set in a column."""
+        found = found.select(F.col("node").alias(column), F.col("component").alias(root))
+        return df.join(found, column, "left").withColumn(root, F.coalesce(root, column))
+
+    alike = f"set != centre and least(size, least) >= {SIMILARITY} * greatest(size, least)"
+    candidates = met.where(alike).select(F.col("centre").alias("a"), F.col("set").alias("b"), "band")
+    links = verified(candidates.where(F.col("band") < FIRST).select("a", "b").distinct())
+    found = connected_components(links)
+    pairs = candidates.where(F.col("band") >= FIRST).select("a", "b").distinct()
+    links = links.unionAll(verified(named(named(pairs, found, "a", "r"), found, "b", "s").where("r != s").select("a", "b")))
+    rooted = named(met.select("key", "set"), connected_components(links), "set", "root")
+    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    open_ = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    open_ = materialize(
+        open_.select("key", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / OUTSIDE).cast("int").alias("rows"), F.ceil(F.col("n") / INSIDE).cast("int").alias("columns"))
+    )
+    rest = rooted.join(open_, "key")
+    place = F.xxhash64(F.lit(7), "set")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = rest.where("root != main").select("key", "set", "root", F.pmod(place, "rows").cast("int").alias("i"), every("columns").alias("j"), F.lit(True).alias("outside"))
+    inside = rest.select("key", "set", "root", every("rows").alias("i"), F.pmod(place, "columns").cast("int").alias("j"), F.lit(False).alias("outside"))
+    cells = outside.unionAll(inside).join(texts, "set").groupBy("key", "i", "j")
+    return links.unionAll(materialize(cells.applyInPandas(_across, "a long, b long").distinct()))
 
-def components(marks: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(doc_id, fp) -> (doc_id, fp, component_id): the smallest id reachable by links, itself included.
 
-    links (a, b) of fingerprints come on top of those within the radius.
-    """
+def components(marks: DataFrame) -> DataFrame:
+    """(doc_id, fp) -> (doc_id, fp, component_id): the smallest id reachable by links, itself included."""
     distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    near = fingerprint_links(distinct.select("fp"))
-    found = connected_components(near if links is None else near.unionAll(links))
+    found = connected_components(fingerprint_links(distinct.select("fp")))
     rooted = distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
@@ -219,18 +269,32 @@ def simhash_near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest id of each group of near copies; rows with a null id stay.
+    """One row of docs for each group of near copies: that with the smallest id (null ids last).
 
     Near copies are texts whose fingerprints are within the radius, and texts whose sets of
-    five-word shingles have a similarity of SIMILARITY or more.
+    five-word shingles have a similarity of SIMILARITY or more. It is rows that stay or go: of
+    two texts under one id each belongs to its own group, and where the smallest id has several
+    texts of a group that with the least hash stays. A row that is there several times stays
+    once. Null, empty and blank texts are one group. Other columns go with their row. Very long
+    texts are read whole; an empty table stays empty.
     """
-    marks = materialize(docs.select("doc_id", _marks("text").alias("x")).select("doc_id", "x.*"))
-    named = marks.groupBy("set").agg(F.min("fp").alias("fp"))
-    alike = marks.select("set", F.col("fp").alias("b")).join(named.select("set", F.col("fp").alias("a")), "set").where("a != b").select("a", "b")
-    near = near_links(docs, marks)
-    near = near.join(named.select(F.col("set").alias("a"), F.col("fp").alias("p")), "a").join(named.select(F.col("set").alias("b"), F.col("fp").alias("q")), "b").select("p", "q")
-    dropped = components(marks.select("doc_id", "fp"), alike.unionAll(near)).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    marks = materialize(docs.select("doc_id", _text_hash().alias("hash"), _marks("text").alias("x")).select("doc_id", "hash", "x.*"))
+    by_fp = marks.groupBy("fp").agg(F.min("set").alias("first"))
+    links = fingerprint_links(by_fp.select("fp"))
+    first = lambda fp, name: by_fp.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    close = links.join(first("a", "p"), "a").join(first("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    equal = marks.select("fp", "set").distinct().join(by_fp, "fp").where("set != first").select(F.col("set").alias("a"), F.col("first").alias("b"))
+    found = connected_components(near_links(docs, marks).unionAll(close).unionAll(equal))
+    rows = marks.groupBy("set", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(found.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("group", F.coalesce("component", "set"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "n")
+    kept = materialize(rows.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.hash").alias("_hash"), F.col("k.n").alias("_n")))
+    clear = {c: f"_c{k}" for k, c in enumerate(docs.columns)}  # whatever their names are
+    named = docs.select(_text_hash().alias("_text"), F.col("doc_id").alias("_doc"), *[F.col(f"`{c}`").alias(n) for c, n in clear.items()])
+    joined = named.join(kept, (F.col("_doc").eqNullSafe(F.col("_id"))) & (F.col("_text") == F.col("_hash")))
+    back = [F.col(n).alias(c) for c, n in clear.items()]
+    several = joined.where("_n > 1").dropDuplicates(["_id", "_hash"])
+    return joined.where("_n = 1").select(back).unionAll(several.select(back))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

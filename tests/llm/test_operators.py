@@ -121,9 +121,40 @@ def test_edited_copies_are_dropped(spark):
     kept = {x["doc_id"] for x in simhash.keep_first(documents(spark, rows)).collect()}
     assert kept == {i for i in root if root[i] == i} and len(kept) == 32
     a, b = simhash.shingles(rows[0][1]), simhash.shingles(rows[1][1])
+    assert simhash.keep_first(documents(spark, [])).count() == 0
     assert np.isclose(simhash.similarity(a, b), len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
 
 
+def test_large_groups_lose_no_link(spark, monkeypatch):
+    """Chains of edits of one text, so that keys are shared by sets on both sides of the least similarity."""
+    monkeypatch.setattr(simhash, "OUTSIDE", 3)
+    monkeypatch.setattr(simhash, "INSIDE", 5)
+    monkeypatch.setattr(simhash, "FIRST", 1)
+    r = random.Random(4)
+    base, rows = prose(77, 60).split(), []
+    for i in range(90):
+        words = list(base) if i % 10 == 0 else list(rows[-1][1].split())
+        for _ in range(1 + i % 3):
+            words[r.randrange(60)] = f"edit{i}"
+        rows.append((i, " ".join(words), "en", "s"))
+    sets = {i: set(simhash.shingles(t).tolist()) for i, t, *_ in rows}
+    keys = {i: set(simhash.near_keys(simhash.shingles(t)).tolist()) for i, t, *_ in rows}
+    prints = {i: simhash.fingerprint(t) for i, t, *_ in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and keys[a] & keys[b] or (prints[a] ^ prints[b]).bit_count() <= 2
+    root = union_find([(a, b) for a, b in itertools.combinations(sets, 2) if alike(a, b)], sets)
+    kept = {x["doc_id"] for x in simhash.keep_first(documents(spark, rows)).collect()}
+    assert kept == {i for i in root if root[i] == i} and 10 < len(kept) < 80
+
+
+def test_rows_stay_not_ids(spark):
+    rows = [(1, prose(1, 50), "en", "s"), (1, prose(2, 50), "en", "s"), (2, prose(1, 50), "en", "s"), (3, prose(3, 50), "en", "s"), (3, prose(3, 50), "en", "t"), (None, prose(4, 50), "en", "s")]
+    rows += [(None, prose(1, 50), "en", "s"), (5, None, "en", "s"), (4, "", "en", "s"), (None, prose(4, 50), "en", "s")]
+    docs = documents(spark, rows)
+    out = simhash.keep_first(docs)
+    assert out.dtypes == docs.dtypes
+    assert sorted((str(x["doc_id"]), x["text"]) for x in out.collect()) == sorted((str(i), t) for i, t, *_ in [rows[0], rows[1], rows[3], rows[5], rows[8]])
+
+
 # --- Language
 
 
