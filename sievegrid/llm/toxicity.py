@@ -2,9 +2,11 @@
 
 Learning: over a bounded sample of labelled documents (SAMPLE rows by a seeded hash of the
 id), the tokens of each word, word beginning and word end in toxic and in other documents
-give a log-odds ratio under an informative Dirichlet prior (the sample's own rates); its
-standard error comes from the numbers of documents, as tokens of one document go together. A term scores its lower bound (ERRORS standard errors down) where that
-alone outweighs the prior odds by MARGIN; every other token scores a fixed loss.
+give a log-odds ratio under an informative Dirichlet prior (the sample's own rates). Repeats
+within a document count by their logarithm, and the standard error comes from the numbers of
+documents, as tokens of one document go together; it means something from LEAST_DOCS toxic
+documents on. A term scores its lower bound (ERRORS standard errors down) where that alone
+outweighs the prior odds by MARGIN; every other token scores a fixed loss.
 
 Scoring: one linear scan finds all maximal-scoring segments of a document. A segment of
 score S among n tokens is expected K n exp(-lambda S) times by chance, with lambda from the
@@ -15,6 +17,7 @@ the significances give a probability by a logistic fit on the sample.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,9 +31,9 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from sievegrid.llm.common import bounded_ids, held_out, materialize, table
 
 MODULUS, REMAINDER = 4, 2
-#: Bounds of the fitted model: labelled rows sampled, terms kept.
+#: Bound of the fitted model: labelled rows sampled.
 SAMPLE = 12_000
-TERMS = 20_000
+LEAST_DOCS = 3
 PRIOR, PRIOR_SHARE = 2000.0, 0.01
 ERRORS = 2.5
 MARGIN = 0.75
@@ -40,8 +43,8 @@ THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 _PARTS = (4, 5, 6, 7)
 _CACHE = 400_000
-#: Repeats of a word in one document beyond so many say nothing more.
-BURST = 3
+#: Counts are integers, in such parts of a token, so that sums don't depend on their order.
+UNIT = 1024
 COUNTS = ("toxic", "other", "toxic_docs", "other_docs")
 
 
@@ -93,26 +96,29 @@ def _lambda(value: np.ndarray, count: np.ndarray) -> float:
     return (low + high) / 2
 
 
+class _Scores(dict):
+    """Score of each word met so far."""
+
+    def __init__(self, weights: dict):
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        s = self[word] = max(self.weights.get(t, -LOSS) for t in terms(word.lower()))
+        return s
+
+
 class Scorer:
     """Token scores and document statistics under a fitted model; keeps a bounded cache of words."""
 
     def __init__(self, model: dict):
-        self.model, self.cache = model, {}
-
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's score and end position in the text."""
-        weights, cache = self.model["terms"], self.cache
-        if len(cache) > _CACHE:
-            cache.clear()
-        scores, ends = [], []
-        for m in _WORD.finditer(text or ""):
-            word = m[0]
-            s = cache.get(word)
-            if s is None:
-                s = cache[word] = max((weights.get(t, -LOSS) for t in terms(word.lower())), default=-LOSS)
-            scores.append(s)
-            ends.append(m.end())
-        return np.array(scores), np.array(ends, np.int64)
+        self.model, self.cache = model, _Scores(model["terms"])
+
+    def tokens(self, text: str | None) -> np.ndarray:
+        """Each word's score."""
+        if len(self.cache) > _CACHE:
+            self.cache.clear()
+        found = _WORD.findall(text or "")
+        return np.fromiter(map(self.cache.__getitem__, found), float, len(found))
 
     def statistic(self, scores: np.ndarray) -> tuple[float, float, list[tuple[int, int, float]]]:
         """Best and summed significance, and the significant segments."""
@@ -142,14 +148,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each term: tokens and documents, in toxic documents and in others; the term '' has all tokens."""
+    """For each term: damped tokens (in UNIT parts) and documents, in toxic documents and in others; the term '' has all tokens."""
     sums = [Counter(), Counter(), Counter(), Counter()]
     for f in frames:
         for text, label in zip(f["text"], f["label"], strict=True):
             tokens, documents = (sums[0], sums[2]) if label else (sums[1], sums[3])
             seen = set()
             for word, n in Counter(_WORD.findall((text or "").lower())).items():
-                n = min(n, BURST)
+                n = round(UNIT * (1 + math.log(n)))
                 tokens[""] += n
                 for t in terms(word):
                     tokens[t] += n
@@ -161,75 +167,89 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": part} | {c: [s[t] for t in part] for c, s in zip(COUNTS, sums, strict=True)})
 
 
+_MOMENTS = "label int, n long, top double, value double, count long"
+
+
 def _moments(model: dict):
+    """A row (label, n, top) for each document, and rows (value, count) of the gains in those that are not toxic."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for f in frames:
-            rows = []
+            rows, gains = [], [np.zeros(0)]
             for text, label in zip(f["text"], f["label"], strict=True):
-                s, _ = scorer.tokens(text)
-                found = [x[2] for x in segments(s)] if len(s) else []
-                rows.append((int(label), len(s), [float(x) for x in s[s > 0]], [float(x) for x in found]))
-            yield pd.DataFrame(rows, columns=["label", "n", "gains", "segments"])
+                s = scorer.tokens(text)
+                rows.append((int(label), len(s), max((x[2] for x in segments(s)), default=0.0)))
+                gains.append(s[s > 0] if not label else s[:0])
+            yield pd.DataFrame(rows, columns=["label", "n", "top"]).assign(value=None, count=None).astype({"value": float, "count": "Int64"})
+            value, count = np.unique(np.concatenate(gains), return_counts=True)
+            yield pd.DataFrame({"label": None, "n": None, "top": None, "value": value, "count": count}).astype({"label": "Int32", "n": "Int64", "top": float})
+
+    return run
+
+
+def _statistics(model: dict):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model)
+        for f in frames:
+            rows = [(int(label), *scorer.statistic(scorer.tokens(text))[:2]) for text, label in zip(f["text"], f["label"], strict=True)]
+            yield pd.DataFrame(rows, columns=["label", "best", "total"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, kept: int = TERMS) -> dict:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> dict:
     """Fit on at most `sample` rows of labels (doc_id, label) whose document is in docs.
 
-    Rows without a label, id or document are left out; of repeated ids one row counts.
-    Without a toxic row no term scores.
+    Rows without a label, id or document are left out; of repeated ids the greatest label and
+    the least text count. Without a toxic row no term scores. The same rows give the same model,
+    however they are dealt to tasks.
     """
     known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     ids = known.join(bounded_ids(known, "doc_id", sample).select("doc_id"), "doc_id", "left_semi")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    rows = materialize(rows.select("text", "label"))
     n = {int(r["label"]): r["n"] for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = materialize(
         rows.mapInPandas(_counted, "term string, " + ", ".join(f"{c} long" for c in COUNTS))
         .groupBy("term")
         .agg(*[F.sum(c).alias(c) for c in COUNTS])
     )
-    whole = counts.where("term = ''").select("toxic", "other").first()
+    tokens = lambda c: F.col(c) / float(UNIT)
+    whole = counts.where("term = ''").select(tokens("toxic"), tokens("other")).first()
     n_toxic, n_other = (float(whole[0]), float(whole[1])) if whole else (0.0, 0.0)
     # log_odds() in the engine, so that only terms that score leave it
     prior = min(PRIOR, PRIOR_SHARE * (n_toxic + n_other))
-    pooled = (F.col("toxic") + F.col("other")) / max(n_toxic + n_other, 1.0)
-    a, b = F.col("toxic") + prior * pooled, F.col("other") + prior * pooled
+    pooled = (tokens("toxic") + tokens("other")) / max(n_toxic + n_other, 1.0)
+    a, b = tokens("toxic") + prior * pooled, tokens("other") + prior * pooled
     delta = F.log(a / (n_toxic + prior - a)) - F.log(b / (n_other + prior - b))
     error = F.sqrt(1 / (F.col("toxic_docs") + 0.5) + 1 / (F.col("other_docs") + 0.5))
     needed = float(np.log(max(n.get(0, 0), 1) / max(n.get(1, 0), 1))) + MARGIN
     best = (
-        counts.where("term != '' and toxic_docs > 2")
+        counts.where(f"term != '' and toxic_docs >= {LEAST_DOCS}")
         .select("term", (delta - ERRORS * error).alias("gain"))
         .where(F.col("gain") > needed)
-        .orderBy(F.desc("gain"), "term")
-        .limit(kept)
         .toPandas()
     )
     weights = dict(zip(best["term"], best["gain"].astype(float), strict=True))
     model = {"terms": weights, "lambda": 1.0, "log_k": 0.0, "logit": np.array([-30.0, 0.0, 0.0])}
-    frame = rows.mapInPandas(_moments(model), "label int, n long, gains array<double>, segments array<double>").toPandas()
+    moments = materialize(rows.mapInPandas(_moments(model), _MOMENTS))
+    frame = moments.where("label is not null").select("label", "n", "top").toPandas().sort_values(["label", "n", "top"])
     if not len(frame):
         return model
     clean = frame[frame["label"] == 0]
-    gains = np.concatenate([np.zeros(0), *clean["gains"]])
-    losses = int(clean["n"].sum()) - len(gains)
-    value, count = np.unique(gains, return_counts=True)
-    model["lambda"] = lam = _lambda(np.append(value, -LOSS), np.append(count, losses)) if losses else 1.0
-    top = np.array([max(s, default=0.0) for s in clean["segments"]])
+    gains = moments.where("value is not null").groupBy("value").agg(F.sum("count").alias("count")).toPandas().sort_values("value")
+    losses = int(clean["n"].sum()) - int(gains["count"].sum())
+    model["lambda"] = lam = _lambda(np.append(gains["value"], -LOSS), np.append(gains["count"].astype(float), losses)) if losses else 1.0
+    top = clean["top"].to_numpy(float)
     hit = top > 0
     size = np.log(np.maximum(clean["n"].to_numpy(float), 1))
     # the mean of an extreme-value variable is (log(K n) + 0.5772) / lambda; K is at least what one hit a sample gives
     model["log_k"] = float(np.mean(lam * top[hit] - size[hit] - 0.5772)) if hit.sum() >= 30 else -float(np.log(clean["n"].sum() + 1))
-    scorer = Scorer(model)
-    best, total = np.zeros(len(frame)), np.zeros(len(frame))
-    for i, (m, found) in enumerate(zip(frame["n"], frame["segments"], strict=True)):
-        sig = np.maximum(lam * np.array(found) - model["log_k"] - np.log(max(m, 1)), 0) if len(found) else np.zeros(1)
-        best[i], total[i] = sig.max(), sig.sum()
-    x = np.column_stack([np.ones(len(frame)), np.log1p(best), np.log1p(total)])
-    model["logit"] = _logistic(x, frame["label"].to_numpy(float))
-    return scorer.model
+    found = rows.mapInPandas(_statistics(dict(model)), "label int, best double, total double").toPandas().sort_values(["label", "best", "total"])
+    x = np.column_stack([np.ones(len(found)), np.log1p(found["best"]), np.log1p(found["total"])])
+    model["logit"] = _logistic(x, found["label"].to_numpy(float))
+    return model
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -237,8 +257,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     passages are the significant segments, each with the code points at which it starts and
     ends and its significance. Null and empty texts and texts without a scoring term have no
-    passage and get the lowest probability. Repeated rows each give a row; other columns are
-    not read.
+    passage and get the lowest probability. Very long texts are scanned whole, in linear time.
+    Repeated rows each give a row; other columns are not read. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     passage = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("significance", DoubleType())])
@@ -250,8 +270,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for texts in batches:
             best, total, passages = np.zeros(len(texts)), np.zeros(len(texts)), []
             for i, text in enumerate(texts):
-                s, ends = scorer.tokens(text)
-                best[i], total[i], found = scorer.statistic(s)
+                best[i], total[i], found = scorer.statistic(scorer.tokens(text))
+                ends = [m.end() for m in _WORD.finditer(text)] if found else []
                 passages.append(
                     [{"start": int(ends[f - 1]) if f else 0, "end": int(ends[e - 1]), "significance": float(v)} for f, e, v in found]
                 )
@@ -281,7 +301,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            both = [scorer.statistic(scorer.tokens(t)[0])[:2] for t in texts]
+            both = [scorer.statistic(scorer.tokens(t))[:2] for t in texts]
             yield pd.Series(scorer.probability(np.array([x[0] for x in both]), np.array([x[1] for x in both])))
 
     return docs.where(scored("text") < THRESHOLD)

@@ -293,7 +293,40 @@ def test_toxicity_does_not_depend_on_the_partitions(spark):
     assert counts(1) == counts(200)
     one, many = (toxicity.train(docs.repartition(n), labels) for n in (1, 200))
     assert one["terms"] == many["terms"] and "vilewurd" in one["terms"]
-    assert np.isclose(one["lambda"], many["lambda"]) and np.allclose(one["logit"], many["logit"])
+    assert one["lambda"] == many["lambda"] and one["log_k"] == many["log_k"] and (one["logit"] == many["logit"]).all()
+    scores = [{x["doc_id"]: x["score"] for x in toxicity.score(docs.repartition(n), m).collect()} for n, m in ((1, one), (64, many))]
+    assert scores[0] == scores[1]
+
+
+def test_toxicity_matches_plain_version(spark):
+    """Counts, lower bounds, best segments and scores by definition, without the engine."""
+    rows = [(i, prose(i, 20 + i % 31) + (" vilewurd nastyterm vilewurd" if i % 5 == 0 else ""), "en", "s") for i in range(200)]
+    docs, labels = documents(spark, rows), labelled(spark, [(i, int(i % 5 == 0)) for i in range(200)], "toxic")
+    model = toxicity.train(docs, labels)
+    tokens, there, whole = {0: {}, 1: {}}, {0: {}, 1: {}}, [0.0, 0.0]
+    for i, text, *_ in rows:
+        words = toxicity._WORD.findall(text.lower())
+        for w in set(words):
+            n = round(1024 * (1 + np.log(words.count(w)))) / 1024
+            whole[i % 5 == 0] += n
+            for t in toxicity.terms(w):
+                tokens[i % 5 == 0][t] = tokens[i % 5 == 0].get(t, 0) + n
+                there[i % 5 == 0].setdefault(t, set()).add(i)
+    names = sorted(t for t, d in there[1].items() if len(d) >= toxicity.LEAST_DOCS)
+    a, b = (np.array([tokens[y].get(t, 0.0) for t in names]) for y in (1, 0))
+    error = np.sqrt(sum(1 / (np.array([len(there[y].get(t, ())) for t in names]) + 0.5) for y in (1, 0)))
+    gain = toxicity.log_odds(a, b, whole[1], whole[0], min(toxicity.PRIOR, toxicity.PRIOR_SHARE * sum(whole))) - toxicity.ERRORS * error
+    want = {t: g for t, g in zip(names, gain, strict=True) if g > np.log(160 / 40) + toxicity.MARGIN}
+    assert want.keys() == model["terms"].keys() and all(np.isclose(g, model["terms"][t]) for t, g in want.items())
+    for x in toxicity.score(docs, model).collect():
+        words = toxicity._WORD.findall(rows[x["doc_id"]][1])
+        s = [max(want.get(t, -toxicity.LOSS) for t in toxicity.terms(w.lower())) for w in words]
+        best = max(sum(s[p:q]) for p in range(len(s)) for q in range(p + 1, len(s) + 1))
+        significance = max(model["lambda"] * best - model["log_k"] - np.log(len(s)), 0) if best > 0 else 0
+        assert np.isclose(max((p["significance"] for p in x["passages"]), default=0), significance)
+        total = sum(p["significance"] for p in x["passages"])
+        z = np.array([1, np.log1p(significance), np.log1p(total)]) @ model["logit"]
+        assert np.isclose(x["score"], 1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def test_toxicity_hard_rows(spark):
