@@ -6,13 +6,15 @@ give a log-odds ratio under an informative Dirichlet prior (the sample's own rat
 within a document count by their logarithm, and the standard error comes from the numbers of
 documents, as tokens of one document go together; it means something from LEAST_DOCS toxic
 documents on. A term scores its lower bound (ERRORS standard errors down) where that alone
-outweighs the prior odds by MARGIN; every other token scores a fixed loss.
+outweighs the prior odds; every other token scores a fixed loss.
 
 Scoring: one linear scan finds all maximal-scoring segments of a document. A segment of
 score S among n tokens is expected K n exp(-lambda S) times by chance, with lambda from the
 score distribution of the sample's other documents and K from their best segments; what its
 exponent exceeds the document's chance level by is its significance. The best and the sum of
-the significances give a probability by a logistic fit on the sample.
+the significances give a probability by a logistic fit on the sample. For lambda, K and the fit
+each document of the sample is scored by terms from which its own share of the counts is taken
+out (a jackknife), or words that only a few toxic documents happen to hold would look certain.
 """
 
 from __future__ import annotations
@@ -35,8 +37,7 @@ MODULUS, REMAINDER = 4, 2
 SAMPLE = 12_000
 LEAST_DOCS = 3
 PRIOR, PRIOR_SHARE = 2000.0, 0.01
-ERRORS = 2.5
-MARGIN = 0.75
+ERRORS = 1.5
 LOSS = 0.35
 THRESHOLD = 0.3
 
@@ -174,11 +175,11 @@ def _moments(model: dict):
     """A row (label, n, top) for each document, and rows (value, count) of the gains in those that are not toxic."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model)
+        scorers = Scorer(model | {"terms": model["without_other"]}), Scorer(model | {"terms": model["without_toxic"]})
         for f in frames:
             rows, gains = [], [np.zeros(0)]
             for text, label in zip(f["text"], f["label"], strict=True):
-                s = scorer.tokens(text)
+                s = scorers[int(label)].tokens(text)
                 rows.append((int(label), len(s), max((x[2] for x in segments(s)), default=0.0)))
                 gains.append(s[s > 0] if not label else s[:0])
             yield pd.DataFrame(rows, columns=["label", "n", "top"]).assign(value=None, count=None).astype({"value": float, "count": "Int64"})
@@ -190,9 +191,9 @@ def _moments(model: dict):
 
 def _statistics(model: dict):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model)
+        scorers = Scorer(model | {"terms": model["without_other"]}), Scorer(model | {"terms": model["without_toxic"]})
         for f in frames:
-            rows = [(int(label), *scorer.statistic(scorer.tokens(text))[:2]) for text, label in zip(f["text"], f["label"], strict=True)]
+            rows = [(int(label), *scorers[int(label)].statistic(scorers[int(label)].tokens(text))[:2]) for text, label in zip(f["text"], f["label"], strict=True)]
             yield pd.DataFrame(rows, columns=["label", "best", "total"])
 
     return run
@@ -218,25 +219,36 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     tokens = lambda c: F.col(c) / float(UNIT)
     whole = counts.where("term = ''").select(tokens("toxic"), tokens("other")).first()
     n_toxic, n_other = (float(whole[0]), float(whole[1])) if whole else (0.0, 0.0)
-    # log_odds() in the engine, so that only terms that score leave it
     prior = min(PRIOR, PRIOR_SHARE * (n_toxic + n_other))
-    pooled = (tokens("toxic") + tokens("other")) / max(n_toxic + n_other, 1.0)
-    a, b = tokens("toxic") + prior * pooled, tokens("other") + prior * pooled
-    delta = F.log(a / (n_toxic + prior - a)) - F.log(b / (n_other + prior - b))
-    error = F.sqrt(1 / (F.col("toxic_docs") + 0.5) + 1 / (F.col("other_docs") + 0.5))
-    needed = float(np.log(max(n.get(0, 0), 1) / max(n.get(1, 0), 1))) + MARGIN
+
+    def bound(toxic, other, toxic_docs, other_docs):
+        """log_odds() less its errors, in the engine, so that only terms that score leave it."""
+        pooled = (toxic + other) / max(n_toxic + n_other, 1.0)
+        a, b = toxic + prior * pooled, other + prior * pooled
+        delta = F.log(a / (n_toxic + prior - a)) - F.log(b / (n_other + prior - b))
+        return F.when(toxic_docs >= LEAST_DOCS, delta - ERRORS * F.sqrt(1 / (toxic_docs + 0.5) + 1 / (other_docs + 0.5)))
+
+    toxic, other, toxic_docs, other_docs = tokens("toxic"), tokens("other"), F.col("toxic_docs"), F.col("other_docs")
+    less = lambda n, docs: F.when(docs > 0, n * (docs - 1) / docs).otherwise(0.0)
+    needed = float(np.log(max(n.get(0, 0), 1) / max(n.get(1, 0), 1)))
     best = (
         counts.where(f"term != '' and toxic_docs >= {LEAST_DOCS}")
-        .select("term", (delta - ERRORS * error).alias("gain"))
-        .where(F.col("gain") > needed)
+        .select(
+            "term",
+            bound(toxic, other, toxic_docs, other_docs).alias("terms"),
+            bound(toxic, less(other, other_docs), toxic_docs, F.greatest(other_docs - 1, F.lit(0))).alias("without_other"),
+            bound(less(toxic, toxic_docs), other, toxic_docs - 1, other_docs).alias("without_toxic"),
+        )
+        .where(F.greatest("terms", "without_other") > needed)
         .toPandas()
     )
-    weights = dict(zip(best["term"], best["gain"].astype(float), strict=True))
-    model = {"terms": weights, "lambda": 1.0, "log_k": 0.0, "logit": np.array([-30.0, 0.0, 0.0])}
+    weights = {c: {t: float(x) for t, x in zip(best["term"], best[c], strict=True) if x > needed} for c in ("terms", "without_other", "without_toxic")}
+    model = weights | {"lambda": 1.0, "log_k": 0.0, "logit": np.array([-30.0, 0.0, 0.0])}
     moments = materialize(rows.mapInPandas(_moments(model), _MOMENTS))
     frame = moments.where("label is not null").select("label", "n", "top").toPandas().sort_values(["label", "n", "top"])
+    final = {k: v for k, v in model.items() if k not in ("without_other", "without_toxic")}
     if not len(frame):
-        return model
+        return final
     clean = frame[frame["label"] == 0]
     gains = moments.where("value is not null").groupBy("value").agg(F.sum("count").alias("count")).toPandas().sort_values("value")
     losses = int(clean["n"].sum()) - int(gains["count"].sum())
@@ -248,8 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     model["log_k"] = float(np.mean(lam * top[hit] - size[hit] - 0.5772)) if hit.sum() >= 30 else -float(np.log(clean["n"].sum() + 1))
     found = rows.mapInPandas(_statistics(dict(model)), "label int, best double, total double").toPandas().sort_values(["label", "best", "total"])
     x = np.column_stack([np.ones(len(found)), np.log1p(found["best"]), np.log1p(found["total"])])
-    model["logit"] = _logistic(x, found["label"].to_numpy(float))
-    return model
+    return final | {"lambda": model["lambda"], "log_k": model["log_k"], "logit": _logistic(x, found["label"].to_numpy(float))}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
