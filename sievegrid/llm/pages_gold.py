@@ -1,7 +1,9 @@
 """Labelled pages for the main-text model, composed by rule from layouts, names and filler.
 
-An element with gold="1" is content and passes its label to what it holds; gold="0" takes
-parts out again (an advert within the article). The attribute is no feature.
+An element with the attribute MARK of value 1 is content and passes its label to what it holds;
+the value 0 takes parts out again (an advert within the article). The attribute is no feature.
+Layouts are of two kinds: composed ones, whose content has a known name, an invented one or
+none, and bare ones, with little more on the page than the article.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ ADVERT = ('div class="ad"', 'div class="ads"', 'div class="advert"', 'div class=
 COMMENTS = ('section class="comments"', 'div id="comments"', 'div class="comment-list"', 'ol class="commentlist"', 'div class="comment"', 'div class="discussion"', 'section id="respond"', 'div class="replies"', 'ul class="comment-thread"')
 FORM = ("form", 'form class="search"', 'form id="subscribe"', 'div class="search-box"', 'form class="comment-form"')
 SHARE = ('div class="share"', 'ul class="social"', 'div class="tags"', 'div class="meta"', 'div class="byline"', 'div class="social-share buttons"')
+MARK = "data-main"
 SYLLABLES = ("ka", "lo", "mer", "ti", "sun", "dra", "pel", "vo", "ni", "gar", "est", "ul", "bren", "sho", "fi", "ran", "too", "ex", "wim", "ja")
 
 
@@ -72,22 +75,44 @@ class _Page:
             elif x < 0.94:
                 out.append(f"<p>{self.words(5, 20)} <a href='/z'>{self.words(1, 4)}</a> {self.words(5, 20)}</p>")
             else:
-                out.append(self.box(ADVERT + SHARE + NOTICE, self.blurb(), ' gold="0"'))
+                out.append(self.box(ADVERT + SHARE + NOTICE, self.blurb(), ' data-main="0"'))
         return "".join(out)
 
     def comments(self) -> str:
         one = lambda: f'<div class="comment"><span class="author">{self.words(1, 2)}</span><p>{self.words(5, 60)}</p></div>'
         return f"<h3>{self.words(1, 2)}</h3>" + "".join(one() for _ in range(self.r.randint(1, 4)))
 
+    def invented(self) -> str:
+        """A container whose name says nothing."""
+        r = self.r
+        word = "".join(r.choice(SYLLABLES) for _ in range(3))
+        return r.choice(("div", "section", "main", "article", f'div class="{word}"', f'div id="{word}"', f'section class="{word} {word[::-1]}"', f'div class="{word}-{r.choice(("box", "wrap", "inner", "col"))}"'))
+
+    def bare(self) -> str:
+        """Little more than an article: paragraphs, perhaps a heading, in any container."""
+        r = self.r
+        body = f"<h1>{self.words(1, 12)}</h1>" if r.random() < 0.5 else ""
+        body += self.body() if r.random() < 0.3 else "".join(f"<p>{self.words(*r.choice(((4, 15), (10, 40), (30, 130))))}</p>" for _ in range(r.choice((1, 1, 2, 3, 5, 10))))
+        if r.random() < 0.3:
+            body = f'<body data-main="1">{body}</body>'
+        else:
+            name = r.choice((self.invented(), r.choice(CONTENT)))
+            body = f'<{name} data-main="1">{body}</{name.split()[0]}>'
+            if r.random() < 0.4:
+                body = f"<body>{self.box(MENU, self.links(3, 7)) if r.random() < 0.4 else ''}{body}{self.box(FOOTER, self.words(2, 12)) if r.random() < 0.4 else ''}</body>"
+        return body if r.random() < 0.5 else f"<html><head><title>{self.words(2, 8)}</title></head>{body}</html>"
+
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.35:
+            return self.bare()
         parts = []
         if r.random() < 0.5:
             parts.append(self.box(HEADER, r.choice((self.blurb(), self.box(MENU, self.links(3, 7))))))
         if r.random() < 0.8:
             parts.append(self.box(MENU, self.links(3, 8)))
         parts += [self.box(f, self.blurb()) for f in (NOTICE, ADVERT, SIDE, ADVERT) if r.random() < 0.45]
-        content = self.box(CONTENT, self.body(), ' gold="1"')
+        content = self.box((self.invented(),) if r.random() < 0.4 else CONTENT, self.body(), ' data-main="1"')
         inner = [content]
         if r.random() < 0.4:
             inner.append(self.box(COMMENTS, self.comments()))
@@ -103,5 +128,5 @@ class _Page:
         return f"<html><head><title>{self.words(2, 8)}</title></head><body>{''.join(parts)}</body></html>"
 
 
-def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
     return [_Page(seed * 100_003 + i).page() for i in range(n)]

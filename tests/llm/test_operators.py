@@ -679,8 +679,8 @@ def test_main_text(page_model):
 def test_unseen_labelled_pages(page_model):
     right = wrong = 0
     for page in pages_gold.labelled_pages(80, seed=77):
-        tree = html_text.Tree(page)
-        for tag, y, p in zip(tree.tag, tree.labels(), html_text.marginals(tree, page_model), strict=True):
+        tree = html_text.Tree(page, pages_gold.MARK)
+        for tag, y, p in zip(tree.tag, html_text.labels(tree), html_text.marginals(tree, page_model), strict=True):
             if tag == html_text.TEXT:
                 right, wrong = right + (y == (p >= 0.5)), wrong + (y != (p >= 0.5))
     assert right / (right + wrong) > 0.97
@@ -709,6 +709,49 @@ def test_text_around_raw_elements():
     assert " ".join(texts("<p>so <math><mi>x</mi></math> holds</p>")).split() == ["so", "x", "holds"]
 
 
+def page_texts(source):
+    tree = html_text.Tree(source)
+    return [x for x, tag in zip(tree.text, tree.tag, strict=True) if tag == html_text.TEXT]
+
+
+def test_plain_articles_come_out_whole(page_model):
+    """Pages of little but an article, in layouts and with names that no labelled page has."""
+    lost = []
+    for n, low in itertools.product((1, 3, 10), (8, 15, 40, 120)):
+        text = [f"{prose(n * 100 + low + k, low)}.".capitalize() for k in range(n)]
+        inner = "".join(f"<p>{t}</p>" for t in text)
+        for page in (
+            f"<article>{inner}</article>", f"<body>{inner}</body>", inner, f"<html><head><title>x</title></head><body><main>{inner}</main></body></html>",
+            f'<div class="wrap"><h1>A heading of it</h1>{inner}</div>', f'<body><div class="zzgrid"><section id="qqv">{inner}</section></div></body>',
+            f"<body><x-shell><x-story>{inner}</x-story></x-shell></body>", f'<article data-gold="yes" gold="no" data-class="sidebar ad">{inner}</article>',
+            f'<body><nav><ul><li><a href="/">Home</a></li><li><a href="/b">Other</a></li></ul></nav><div class="kkl">{inner}</div><footer>Imprint</footer></body>',
+        ):
+            got = html_text.main_text(page, page_model).split("\n")
+            lost += [(page[:60], n, low) for t in text if t not in got]
+    assert not lost, lost
+
+
+def test_markup_that_is_no_text():
+    assert page_texts('<p>a</p><script src="a.js"/>var x = "<p>code</p>";</script><p>b</p>') == ["a", "b"]
+    assert page_texts("<p>x <svg><style/><path d='m'/></svg> y</p>") == ["x y"]
+    for name in ("data", "ruby", "output", "nobr", "x-term", "math", "object"):
+        assert page_texts(f"<p>one <{name} value='3'>two</{name}> three</p>") == ["one two three"]
+    assert html_text.Tree('<div data-class="ad" my-id=\'b\' title="class=side" CLASS=story id>x</div>').names[1] == ("story",)
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    def seconds(source):
+        start = time.perf_counter()
+        html_text.Tree(source)
+        return time.perf_counter() - start
+
+    for part, end in (("<b>", "</i>"), ("<b>", "</b>"), ("<i><table><td>" + "<b>", "</i>"), ("<p><a>", "</div>"), ("<div a=", "'")):
+        small, large = (min(seconds(part * n + end * n) for _ in range(3)) for n in (2000, 16000))
+        assert large < 40 * small + 0.3, (part, end, small, large)
+
+
 def test_all_names_of_an_element_count():
     words = [f"b{chr(97 + i)}" for i in range(25)]
     tree = html_text.Tree(f"<div class='{' '.join(words)} sidebar'><p>x</p></div>")
