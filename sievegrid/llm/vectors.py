@@ -1,24 +1,24 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
 Equal vectors of a label become one representative with a count. Labels with many
-representatives are cut into clusters around centroids from a bounded sample; each
-representative is a member of its CLOSEST clusters, so that neighbouring clusters overlap.
+representatives are cut into clusters around centroids from a bounded sample; where a label
+needs more clusters than the sample carries, a second set of centroids for what the first
+ones leave over (residuals) splits each of them, so that clusters keep their size at any number
+of vectors. Each representative is a member of its nearest clusters, so that clusters overlap.
 Every cluster's members get a graph by robust pruning (an edge is dropped if a kept
 neighbour is ALPHA times nearer to its end), and the adjacency lists that a representative
 has in several clusters are united.
 
-Search: every representative is sent to its nearest clusters and to all that may be the first
-cluster of a link: a link that is nearer to centroid c than to c' lies on c's side of the plane
-between them, so its query is at most arccos(THRESHOLD) beyond that plane. This leaves no
-neighbour out; where vectors are spread evenly it leaves out few clusters, and the work of a
-label grows with its square. The clusters beyond the nearest ones are searched exhaustively in
-blocks. In the nearest ones a greedy beam search goes from the medoid to the query's
-surroundings, and the range is expanded along edges until no new vector within the slack is
-found; every found pair is verified by its cosine in double precision. Some queries of each
-cluster are audited against all its members, and a cluster whose audit falls short is
-searched exhaustively in blocks instead. Counts are added up over the clusters, each
-neighbour counting in its first cluster only; links leave a cluster as local components, so
-no pairs are ever written out.
+Of how many clusters it is a member is calibrated for each label: pairs at exactly the
+threshold, in random directions around sampled vectors, must meet in a common cluster ROUTED of
+the time. Every member searches its clusters: a greedy beam search goes from the medoid to the
+query's surroundings, and the range is expanded along edges until no new vector within the
+slack is found; every found pair is verified by its cosine in double precision. Some queries of
+each cluster are audited against all its members, and a cluster whose audit falls short is
+searched exhaustively in blocks instead. At the end a seeded sample of AUDITED representatives
+is compared with all vectors of their labels: that is the recall reported, and memberships are
+doubled until it holds. A neighbour counts in the first cluster that both share; links leave
+a cluster as local components, so no pairs are ever written out.
 
 Clusters beyond MEMBERS are split by hash, and so are their queries beyond QUERIES: every
 task is of bounded size, however many near copies one vector has.
@@ -26,40 +26,45 @@ task is of bounded size, however many near copies one vector has.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from sievegrid.llm.common import connected_components, materialize, table
 
 THRESHOLD = 0.93
 SLACK = 0.05
-TARGET = 1000
-#: Bounds of the fitted index: vectors sampled, centroids.
+#: Members of a cluster that are aimed at.
+TARGET = 2000
+#: Bounds of the fitted index: vectors sampled, centroids of each of the two sets of a label, first centroids of a vector whose splits are compared.
 SAMPLE = 20_000
-CENTROIDS = 8192
-CLOSEST, PROBES = 2, 3
-#: Nearest centroids of a query whose planes tell which clusters can hold a link.
-RIVALS = 8
-MEMBERS, QUERIES = 4000, 20_000
-DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 48
+CENTROIDS = 4096
+COARSE = 16
+#: Share of pairs at the threshold that must meet in a cluster; memberships at least and at most.
+ROUTED = 0.99
+LEAST_HOMES, MOST_HOMES = 3, 16
+MEMBERS, QUERIES = 4000, 4000
+DEGREE, CANDIDATES, ALPHA, BEAM, AT_ONCE = 20, 40, 1.2, 32, 4
 AUDIT, AUDIT_RECALL = 24, 0.99
+AUDITED, LEAST_RECALL = 256, 0.99
 _BLOCK = 512
 #: Pairs of a query and a neighbour looked at together while ranges grow.
 _PAIRS = 1 << 20
 
 
-def centroids(x: np.ndarray, k: int, seed: int = 7, rounds: int = 4) -> np.ndarray:
-    """Spherical k-means from random members; dense places keep several centroids."""
+def centroids(x: np.ndarray, k: int, seed: int = 7, rounds: int = 4, spherical: bool = True) -> np.ndarray:
+    """k-means from random members; dense places keep several centroids. Spherical ones are unit vectors."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        own = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+        own = np.concatenate([(x[i : i + 4096] @ c.T - (c**2).sum(1) / 2).argmax(1) for i in range(0, len(x), 4096)])
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True) if spherical else np.bincount(own, minlength=len(c))[:, None]
         c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c)
     return c
 
@@ -139,22 +144,25 @@ def range_search(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, radius:
     pool[:, 0], value[:, 0], done[:, 0] = medoid, queries @ x[medoid], False
     seen[:, medoid] = True
     cos[:, medoid] = value[:, 0]
-    for _ in range(4 * beam):
+    for _ in range(beam):
         open_ = np.where(done, -3.0, value)
-        best = open_.argmax(1)
-        active = open_[rows, best] > -3.0
+        best = np.argpartition(-open_, AT_ONCE - 1, axis=1)[:, :AT_ONCE]
+        fine = np.take_along_axis(open_, best, 1) > -3.0
+        active = fine.any(1)
         if not active.any():
             break
-        q = rows[active]
-        done[q, best[active]] = True
-        near = graph[pool[q, best[active]]]
+        q, best, fine = rows[active], best[active], fine[active]
+        done[q[:, None], best] = True
+        near = np.where(fine[:, :, None], graph[pool[q[:, None], best]], -1).reshape(len(q), -1)
+        near.sort(axis=1)
         fresh = (near >= 0) & ~seen[q[:, None], near]
+        fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
         a, b = np.nonzero(fresh)
         qa, nb = q[a], near[a, b]
         seen[qa, nb] = True
         c = np.einsum("pd,pd->p", queries[qa], x[nb])
         cos[qa, nb] = c
-        new = np.full((len(q), near.shape[1]), -3.0)
+        new = np.full(near.shape, -3.0)
         new[a, b] = c
         all_value = np.hstack([value[q], new])
         all_pool = np.hstack([pool[q], near])
@@ -182,27 +190,24 @@ def range_search(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, radius:
     return cos >= radius
 
 
-def _search(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each query here: the number of first-cluster neighbours found and its local component's least id."""
-    member = frame["near"].notna().to_numpy() & frame["mine"].to_numpy()
-    mine, asked = frame[member], frame[frame["asks"].to_numpy()]
-    ids, x = mine["rid"].to_numpy(), _unit(mine["embedding"]) if len(mine) else None
-    asked = asked.sort_values("probe", ascending=False, kind="stable")
+def _search(frame: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+    """For each query here: the neighbours found that it meets in no nearer cluster, its local component's least id, and whether the graph found them."""
+    asked = frame[frame["asks"].to_numpy()]
     out_ids = asked["rid"].to_numpy()
+    mine = frame[frame["mine"].to_numpy()]
     if not len(mine) or not len(asked):
-        return pd.DataFrame({"rid": out_ids, "found": np.zeros(len(out_ids), np.int64), "root": out_ids})
-    q = _unit(asked["embedding"])
-    weight = np.where(mine["first"].to_numpy(), mine["n"].to_numpy(), 0)
-    radius = THRESHOLD
-    graph = _adjacency(ids, mine["near"].tolist())
+        return pd.DataFrame({"rid": out_ids, "found": np.zeros(len(out_ids), np.int64), "root": out_ids, "by_graph": True})
+    near = dict(zip(lists["member"], lists["near"], strict=True))
+    ids, x, q = mine["rid"].to_numpy(), _unit(mine["embedding"]), _unit(asked["embedding"])
+    here = int(frame["cluster"].iloc[0])
+    weight, radius = mine["n"].to_numpy(), THRESHOLD
+    homes = np.stack(mine["homes"].to_numpy())
+    graph = _adjacency(ids, [near[r] for r in ids.tolist()])
     step = max(1, min(_BLOCK, 4_000_000 // len(ids)))
-    probes = int(asked["probe"].sum())  # the first so many go by the graph
-    if probes:
-        pick = np.linspace(0, probes - 1, min(AUDIT, probes)).astype(int)
-        truth = q[pick] @ x.T >= radius
-        caught = range_search(q[pick], x, graph, radius)
-        if (caught & truth).sum() < AUDIT_RECALL * truth.sum():
-            probes = 0
+    pick = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
+    truth = q[pick] @ x.T >= radius
+    caught = range_search(q[pick], x, graph, radius)
+    by_graph = bool((caught & truth).sum() >= AUDIT_RECALL * truth.sum())
     found = np.zeros(len(q), np.int64)
     # local components: labels are positions among members, then queries not among them
     position = {r: k for k, r in enumerate(ids.tolist())}
@@ -217,13 +222,17 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
             k = root[k]
         return k
 
-    for at in [*range(0, probes, step), *range(probes, len(q), step)]:
-        block = q[at : min(at + step, probes) if at < probes else at + step]
-        hit = range_search(block, x, graph, radius) if at < probes else block @ x.T >= radius
-        found[at : at + len(block)] = hit @ weight
-        for k in range(len(block)):
+    for at in range(0, len(q), step):
+        block = q[at : at + step]
+        hit = range_search(block, x, graph, radius) if by_graph else block @ x.T >= radius
+        self = place[at : at + step]
+        hit[np.flatnonzero(self < len(ids)), self[self < len(ids)]] = True
+        for k, own in enumerate(asked["homes"].iloc[at : at + step]):
             linked = np.flatnonzero(hit[k])
             if len(linked):
+                nearer = own[: int(np.flatnonzero(own == here)[0])]
+                met = (homes[linked][:, :, None] == nearer).any((1, 2)) if len(nearer) else False
+                found[at + k] = (weight[linked] * ~np.asarray(met)).sum()
                 heads = np.unique(root[linked])
                 least = find(place[at + k])
                 for h in heads:
@@ -232,50 +241,117 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
                     root[max(a, b)] = least
                 root[linked] = least
     top = np.array([find(k) for k in place])
-    return pd.DataFrame({"rid": out_ids, "found": found, "root": names[top]})
-
-
-def can_hold_links(cos: np.ndarray, order: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Boolean (query, cluster): whether a vector with this first cluster can be a link of the query.
-
-    cos are the queries' cosines to the unit centroids c, order their places from the nearest on.
+    return pd.DataFrame({"rid": out_ids, "found": found, "root": names[top], "by_graph": by_graph})
+
+
+def nearest_cells(x: np.ndarray, cells: dict, count: int) -> np.ndarray:
+    """The `count` nearest cells of each row of unit vectors x, nearest first: around a centroid, or a centroid and a residual."""
+    first, rest = cells["first"], cells["rest"]
+    if rest is None:
+        return np.argsort(((first**2).sum(1) - 2 * (x @ first.T)), axis=1, kind="stable")[:, : min(count, len(first))]
+    out = []
+    wide = min(COARSE, len(first))
+    for at in range(0, len(x), 64):
+        v = x[at : at + 64]
+        d = (first**2).sum(1) - 2 * (v @ first.T)
+        coarse = np.argsort(d, axis=1, kind="stable")[:, :wide]
+        fine = cells["cross"][coarse] - 2 * (v @ rest.T)[:, None, :] + np.take_along_axis(d, coarse, 1)[:, :, None]
+        code = (coarse[:, :, None] * len(rest) + np.arange(len(rest))).reshape(len(v), -1)
+        order = np.argsort(fine.reshape(len(v), -1), axis=1, kind="stable")[:, :count]
+        out.append(np.take_along_axis(code, order, 1))
+    return np.concatenate(out)
+
+
+def cut(sample: np.ndarray, n: int, target: int, most: int, seed: int = 7) -> dict:
+    """Cells for n vectors like the unit vectors of the sample.
+
+    Memberships are raised until pairs at the threshold around sampled vectors meet, and cells
+    with them, as each membership fills them. Those vectors have no part in the centroids.
     """
-    may = np.ones(cos.shape, bool)
-    beyond = float(np.sin(np.arccos(THRESHOLD)))
-    for rival in order[:, :RIVALS].T:
-        gap = np.sqrt(np.maximum(2 - 2 * (c[rival] @ c.T), 0))
-        may &= np.take_along_axis(cos, rival[:, None], 1) - cos <= beyond * gap + 1e-7
-    return may
-
-
-def _routes(model: dict):
-    kind = ArrayType(StructType([StructField("cluster", IntegerType()), *(StructField(c, BooleanType()) for c in ("mine", "first", "probe"))]))
-    within = float(np.cos(np.arccos(THRESHOLD) + np.radians(10)))
-
-    @F.pandas_udf(kind)
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(sample))
+    apart = min(len(sample) // 5, 1000)
+    base, sample = sample[order[:apart]] if apart else sample, sample[order[apart:]]
+    away = rng.normal(size=base.shape)
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    other = THRESHOLD * base + np.sqrt(1 - THRESHOLD**2) * away
+    homes = LEAST_HOMES
+    while True:
+        k = int(np.ceil(n * homes / target))
+        coarse = max(1, min(k, most, len(sample) // 4))
+        first = centroids(sample, coarse, seed)
+        rest, cross = None, None
+        if coarse < k:
+            left = sample - first[(sample @ first.T).argmax(1)]
+            rest = centroids(left, min(-(-k // coarse), most), seed, spherical=False)
+            cross = (rest**2).sum(1) + 2 * (first @ rest.T)
+        cells = {"first": first, "rest": rest, "cross": cross, "homes": homes}
+        a, b = (nearest_cells(v, cells, homes) for v in (base, other))
+        if (a[:, :, None] == b[:, None, :]).any((1, 2)).mean() >= ROUTED or homes >= MOST_HOMES:
+            return cells
+        homes += 1
+
+
+def _routes(shared, factor: int):
+    @F.pandas_udf(ArrayType(IntegerType()))
     def routes(label: pd.Series, dim: pd.Series, embedding: pd.Series) -> pd.Series:
-        out = [None] * len(label)
+        out = [[0]] * len(label)
         for key, at in pd.DataFrame({"l": label.to_numpy(), "d": dim.to_numpy()}).groupby(["l", "d"]).indices.items():
-            c = model.get((int(key[0]), int(key[1])))
-            if c is None:
-                for i in at:
-                    out[i] = [{"cluster": 0, "mine": True, "first": True, "probe": True}]
-                continue
-            for low in range(0, len(at), _BLOCK):
+            cells = shared.value.get((int(key[0]), int(key[1])))
+            for low in range(0, len(at) if cells else 0, _BLOCK):
                 part = at[low : low + _BLOCK]
-                cos = _unit(embedding.iloc[part]) @ c.T
-                order = np.argsort(-cos, axis=1, kind="stable")
-                may = can_hold_links(cos, order, c)
-                for i, row, o, m in zip(part, cos, order, may, strict=True):
-                    n = max(PROBES, int((row >= within).sum()))
-                    out[i] = [{"cluster": int(k), "mine": r < CLOSEST, "first": r == 0, "probe": r < n} for r, k in enumerate(o) if r < n or m[k]]
+                for i, row in zip(part, nearest_cells(_unit(embedding.iloc[part]), cells, cells["homes"] * factor).tolist(), strict=True):
+                    out[i] = row
         return pd.Series(out)
 
     return routes
 
 
+def _links(shared):
+    """For each audited representative, the rows of its label within the threshold (its own among them)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for key, part in f.groupby(["label", "dim"]):
+                asked = shared.value.get((int(key[0]), int(key[1])))
+                if asked is not None:
+                    hit = asked[1] @ _unit(part["embedding"]).T >= THRESHOLD
+                    out.append(pd.DataFrame({"rid": asked[0], "truth": hit @ part["n"].to_numpy()}))
+            yield pd.concat(out) if out else pd.DataFrame({"rid": [], "truth": []}).astype("int64")
+
+    return run
+
+
+def _by_kind(frame: pd.DataFrame) -> Iterator[tuple[tuple[int, int], pd.DataFrame]]:
+    for (label, dim), part in frame.groupby(["label", "dim"]):
+        yield (int(label), int(dim)), part
+
+
+def _searched(reps: DataFrame, model: dict, factor: int) -> DataFrame:
+    """(rid, found, root, by_graph) for each representative and each of its clusters' parts."""
+    place = ["label", "dim", "cluster"]
+    routes = _routes(reps.sparkSession.sparkContext.broadcast(model), factor)
+    homed = reps.withColumn("homes", routes("label", "dim", "embedding"))
+    routed = materialize(homed.withColumn("cluster", F.explode("homes")))
+    sizes = routed.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"), F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("sides"))
+    routed = routed.join(sizes, place).withColumn("own_part", F.pmod("rid", "parts").cast("int")).withColumn("own_side", F.pmod(F.shiftright("rid", 20), "sides").cast("int"))
+    cell = [*place, "part"]
+    lists = routed.withColumn("part", F.col("own_part")).select(*cell, "rid", "embedding").groupBy(*cell).applyInPandas(_build, "rid long, near array<long>")
+    united = lists.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    # a member is in its own part for all sides, a query in its own side for all parts; where there is one of each, one row is both
+    every = routed.withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = every.withColumn("mine", F.col("part") == F.col("own_part")).withColumn("asks", F.col("side") == F.col("own_side")).where("mine or asks")
+    other = [f"_{c}" for c in (*cell, "side")]
+    near = every.where("mine").select(*[F.col(c).alias(f"_{c}") for c in (*cell, "side")], "rid").join(united, "rid").select(*other, F.col("rid").alias("member"), "near")
+    rows = every.select(*cell, "side", "rid", "n", "embedding", "homes", "mine", "asks")
+    return materialize(rows.groupBy(*cell, "side").cogroup(near.groupBy(*other)).applyInPandas(_search, "rid long, found long, root long, by_graph boolean"))
+
+
 def link_vectors(vectors: DataFrame) -> DataFrame:
-    """One row per row of vectors (vec_id, embedding, label): n_links, component_id, kept.
+    """One row per row of vectors (vec_id, embedding, label): n_links, component_id, kept, and
+    audit_recall, the share of the audited representatives' links that were found (1 if they have none).
 
     Null labels, and vectors that are null, empty, zero or hold a null or non-finite component,
     have no links and are their own component; vectors of different lengths never link. Rows
@@ -287,49 +363,30 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
         " and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < double('infinity'))"
         " and exists(embedding, v -> v != 0)"
     )
-    plain = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.expr("transform(embedding, v -> cast(v as double) + 0.0D)").alias("embedding"))
+    plain = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.expr("transform(embedding, v -> v + cast(0 as float))").alias("embedding"))
     rows = plain.withColumn("rid", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("label", "embedding")))
     reps = materialize(
         rows.where("rid is not null").groupBy("rid", "label", "embedding").agg(F.min("vec_id").alias("vid"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("embedding"))
     )
-    large = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TARGET)
-    sample = reps.join(large.select("label", "dim"), ["label", "dim"], "left_semi").orderBy(F.xxhash64(F.lit(5), "rid"), "rid").limit(SAMPLE)
-    sample = sample.select("label", "dim", "embedding").toPandas()
-    model = {}
-    if len(sample):
-        every = large.agg(F.sum("n")).first()[0]
-        for (label, dim), part in sample.groupby(["label", "dim"]):
-            share = len(part) / len(sample)
-            k = int(np.ceil(min(every * share / TARGET, CENTROIDS * share, len(part) / 4)))
-            if k > 1:
-                model[(int(label), int(dim))] = centroids(_unit(part["embedding"]), k)
-    routed = materialize(
-        reps.select("rid", "label", "dim", "n", "embedding", F.explode(_routes(model)("label", "dim", "embedding")).alias("r"))
-        .select("rid", "label", "dim", "n", "embedding", "r.cluster", "r.mine", "r.first", "r.probe")
-    )
-    place = ["label", "dim", "cluster"]
-    sizes = routed.groupBy(*place).agg(
-        F.ceil(F.count_if("mine") / MEMBERS).cast("int").alias("parts"), F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("sides")
-    )
-    routed = routed.join(sizes, place).withColumn("part", F.pmod("rid", F.greatest("parts", F.lit(1))).cast("int"))
-    cell = [*place, "part"]
-    lists = routed.where("mine").select(*cell, "rid", "embedding").groupBy(*cell).applyInPandas(_build, "rid long, near array<long>")
-    united = lists.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    side = F.pmod(F.shiftright("rid", 20), F.col("sides")).cast("int")
-    columns = [*cell, "side", "rid", "n", "embedding", "first", "near", "mine", "asks", "probe"]
-    # a member is in its own part for all sides, a query in its own side for all parts
-    members = (
-        routed.where("mine").join(united, "rid").withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-        .withColumn("asks", F.lit(False)).select(columns)
-    )
-    queries = (
-        routed.where("parts > 0").withColumn("side", side).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("near", F.lit(None).cast("array<long>")).withColumn("mine", F.lit(False)).withColumn("asks", F.lit(True)).select(columns)
-    )
-    searched = materialize(
-        members.unionByName(queries).groupBy(*cell, "side").applyInPandas(_search, "rid long, found long, root long")
-    )
-    found = searched.groupBy("rid").agg(F.sum("found").alias("found"))
+    order = (F.xxhash64(F.lit(5), "rid"), "rid")
+    large = materialize(reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > TARGET))
+    sample = reps.join(large, ["label", "dim"]).orderBy(*order).limit(SAMPLE).select("label", "dim", "size", "embedding").toPandas()
+    audited = reps.orderBy(*order).limit(AUDITED).select("rid", "label", "dim", "embedding").toPandas()
+    model = {kind: cut(_unit(part["embedding"]), int(part["size"].iloc[0]), TARGET, CENTROIDS) for kind, part in _by_kind(sample)}
+    asked = {kind: (part["rid"].to_numpy(), _unit(part["embedding"])) for kind, part in _by_kind(audited)}
+    links = _links(vectors.sparkSession.sparkContext.broadcast(asked))
+    truth = reps.select("label", "dim", "n", "embedding").mapInPandas(links, "rid long, truth long").groupBy("rid").agg(F.sum("truth").alias("truth"))
+    truth = materialize(truth)
+    factor = 1
+    while True:
+        searched = _searched(reps.select("rid", "label", "dim", "n", "embedding"), model, factor)
+        found = searched.groupBy("rid").agg(F.sum("found").alias("found"))
+        least = F.least("found", "truth") - 1
+        caught, every = found.join(truth, "rid").agg(F.coalesce(F.sum(least), F.lit(0)), F.coalesce(F.sum(F.col("truth") - 1), F.lit(0))).first()
+        recall = caught / every if every else 1.0
+        if recall >= LEAST_RECALL or not model or factor >= 4:
+            break
+        factor *= 2
     joined = connected_components(searched.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     rooted = reps.select("rid", "vid", "n").join(joined.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("root", F.coalesce("component", "rid"))
     least = rooted.groupBy("root").agg(F.min("vid").alias("component_id"))
@@ -338,7 +395,7 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     component = F.when(F.col("rid").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.lit(recall).alias("audit_recall"),
     )
 
 

@@ -551,12 +551,35 @@ def test_vector_links_match_brute_force(spark, target, monkeypatch):
     assert len(out) == len(rows)
     off = sum(out[i]["n_links"] != links[i] or out[i]["component_id"] != component[i] for i in out)
     assert off <= (0 if target == 1000 else 0.02 * len(rows))
+    assert all(0.99 <= x["audit_recall"] <= 1 for x in out.values())
     assert all(out[i]["kept"] == (out[i]["component_id"] == i) for i in out)
     assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in range(900, 908))
 
 
-def test_no_link_is_lost_between_many_clusters(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "TARGET", 12)
+@pytest.mark.parametrize("dim", [16, 64, 256])
+@pytest.mark.parametrize("most", [4096, 20])
+def test_routes_meet_at_the_threshold(dim, most):
+    """Random pairs at exactly the threshold share a cluster, with one set of centroids and with residuals."""
+    r = np.random.default_rng(dim)
+    x = r.normal(size=(4000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = 100_000
+    cells = vectors.cut(x, n, 2000, most)
+    size = len(cells["first"]) * (1 if cells["rest"] is None else len(cells["rest"]))
+    assert n * cells["homes"] / 2000 <= size < 2 * n * cells["homes"] / 2000 + most and (cells["rest"] is None) == (most > 20)
+    p, away = r.normal(size=(2, 2000, dim))
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    away -= (away * p).sum(1, keepdims=True) * p
+    q = 0.93 * p + np.sqrt(1 - 0.93**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    a, b = (vectors.nearest_cells(v, cells, cells["homes"]) for v in (p, q))
+    assert (a[:, :, None] == b[:, None, :]).any((1, 2)).mean() >= 0.98
+
+
+@pytest.mark.parametrize("most", [4096, 8])
+def test_no_link_is_lost_between_many_clusters(spark, monkeypatch, most):
+    monkeypatch.setattr(vectors, "TARGET", 60)
+    monkeypatch.setattr(vectors, "CENTROIDS", most)
+    monkeypatch.setattr(vectors, "ROUTED", 1.0)
     r = np.random.default_rng(11)
     base = r.normal(size=(300, 24))
     base = np.vstack([base, *(base + r.normal(size=base.shape) * 0.27 for _ in range(2))])
