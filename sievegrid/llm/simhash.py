@@ -19,9 +19,10 @@ hashes instead: BANDS keys of ROWS minima each, of which a pair at similarity s
 probability (1 - s^ROWS)^BANDS (6e-5 at 0.8). Every candidate is verified by the exact Jaccard
 similarity of its sets of shingles. Each key has a centre drawn by hash; all that share the key
 are compared with it, for FIRST of the keys and then, where no link joins them yet, for the
-others. What is then still apart is compared in cells of bounded size: the sets outside of a
-key's largest component with all sets of the key, whatever its size. Only links leave a cell,
-one for each set and component.
+others. What is then still apart is compared in cells of bounded size: keys with the same
+largest component go together, and the sets outside of that component are compared with all
+sets of those keys, however many there are, so that a text is in few cells. Only links leave a
+cell, one for each set and component.
 """
 
 from __future__ import annotations
@@ -173,7 +174,7 @@ def _similar(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
 
 def _across(cell: pd.DataFrame) -> pd.DataFrame:
     """Links (a, b) of the outside sets of a cell: one to each other component that holds a similar set."""
-    outside, inside = cell[cell["outside"]], cell[~cell["outside"]]
+    outside, inside = cell[cell["outside"]], cell[cell["inside"]]
     out = []
     if len(outside) and len(inside):
         sets = [shingles(t) for t in inside["text"]]
@@ -201,17 +202,20 @@ def _text_hash():
 def near_links(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Links (a, b) of sets of shingles whose components are those of all verified pairs of SIMILARITY or more.
 
-    marks has (hash, set, size, keys) of the rows of docs (text), hash naming the text. Sets that
-    share a key are candidates.
+    marks has (doc_id, hash, set, size, keys) of the rows of docs (doc_id, text), hash naming the
+    text. Sets that share a key are candidates.
     """
-    sets = marks.where("size > 0").groupBy("set").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min("hash").alias("hash"))
-    keyed = sets.select("set", "size", "hash", F.posexplode("keys").alias("band", "key"))
+    source = F.min(F.struct("hash", F.col("doc_id").alias("id"))).alias("source")
+    sets = marks.where("size > 0").groupBy("set").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), source)
+    keyed = sets.select("set", "size", "source", F.posexplode("keys").alias("band", "key"))
     centre = F.min(F.struct(F.xxhash64("key", "set").alias("h"), "set", "size")).alias("c")
     shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), centre).where("n > 1").select("key", F.col("c.set").alias("centre"), F.col("c.size").alias("least")))
     met = materialize(keyed.join(shared, "key"))
-    wanted = met.select("set", "hash").distinct()
-    texts = docs.select("text", _text_hash().alias("hash")).join(wanted, "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text"))
-    texts = materialize(wanted.join(texts, "hash").select("set", "text"))
+    # one row's text for each set, written before it is grouped, so that the join can be split where a text has very many copies
+    wanted = met.select("set", "source.hash", "source.id").distinct()
+    at = (F.col("_hash") == F.col("hash")) & F.col("_id").eqNullSafe(F.col("id"))
+    texts = materialize(docs.select("text", _text_hash().alias("_hash"), F.col("doc_id").alias("_id")).join(wanted, at).select("set", "text"))
+    texts = materialize(texts.groupBy("set").agg(F.min("text").alias("text")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("set").alias("b"), F.col("text").alias("y")), "b")
@@ -231,16 +235,19 @@ def near_links(docs: DataFrame, marks: DataFrame) -> DataFrame:
     rooted = named(met.select("key", "set"), connected_components(links), "set", "root")
     parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     open_ = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
-    open_ = materialize(
-        open_.select("key", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / OUTSIDE).cast("int").alias("rows"), F.ceil(F.col("n") / INSIDE).cast("int").alias("columns"))
-    )
-    rest = rooted.join(open_, "key")
+    rest = materialize(rooted.join(materialize(open_.select("key", F.col("most.root").alias("main"))), "key").select("main", "set", "root").distinct())
+    sizes = rest.groupBy("main").agg(F.ceil(F.count_if(F.col("root") != F.col("main")) / OUTSIDE).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / INSIDE).cast("int").alias("columns"))
     place = F.xxhash64(F.lit(7), "set")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outside = rest.where("root != main").select("key", "set", "root", F.pmod(place, "rows").cast("int").alias("i"), every("columns").alias("j"), F.lit(True).alias("outside"))
-    inside = rest.select("key", "set", "root", every("rows").alias("i"), F.pmod(place, "columns").cast("int").alias("j"), F.lit(False).alias("outside"))
-    cells = outside.unionAll(inside).join(texts, "set").groupBy("key", "i", "j")
-    return links.unionAll(materialize(cells.applyInPandas(_across, "a long, b long").distinct()))
+    rest = rest.join(materialize(sizes), "main").withColumn("row", F.pmod(place, "rows").cast("int")).withColumn("column", F.pmod(place, "columns").cast("int"))
+    cells = F.expr(
+        "array_distinct(concat(transform(sequence(0, rows - 1), i -> struct(i as i, column as j)),"
+        " if(root != main, transform(sequence(0, columns - 1), j -> struct(row as i, j as j)), array())))"
+    )
+    rest = rest.withColumn("cell", F.explode(cells)).select(
+        "main", "cell.i", "cell.j", "set", "root",
+        ((F.col("root") != F.col("main")) & (F.col("row") == F.col("cell.i"))).alias("outside"), (F.col("column") == F.col("cell.j")).alias("inside"),
+    )
+    return links.unionAll(materialize(rest.join(texts, "set").groupBy("main", "i", "j").applyInPandas(_across, "a long, b long").distinct()))
 
 
 def components(marks: DataFrame) -> DataFrame:
