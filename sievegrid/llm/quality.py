@@ -2,8 +2,8 @@
 
 Every text becomes a vector of hashed character trigrams (of the text and of its shape, where
 letters, capitals and digits fall together) and of a few repetition and make-up ratios. The
-trigram part is weighted by inverse document frequency and folded into a latent space by a
-truncated singular value decomposition. The latent vectors of a bounded labelled sample
+trigrams are weighted by inverse document frequency, the ratios centred and scaled, and all
+are folded into one latent space by a truncated singular value decomposition. The latent vectors of a bounded labelled sample
 (SAMPLE rows) are broadcast; every document takes its exact cosine with all of them in
 blocks, and its K nearest vote with weights that grow with their similarity.
 """
@@ -38,6 +38,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BLOCK = 256
 RATIOS = 9
+#: Weight of a ratio's standard deviation beside the trigrams' unit norm.
+RATIO_WEIGHT = 0.2
 
 
 def _hashed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -77,19 +79,22 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def _latent_input(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def _weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     tf = np.sqrt(x[:, : 2 * BUCKETS]) * idf
     return tf / np.maximum(np.linalg.norm(tf, axis=1, keepdims=True), 1e-9)
 
 
-def _embed(x: np.ndarray, model: dict) -> np.ndarray:
-    """Unit vectors (or zero): the latent part and the centred ratios, each in its share of the norm."""
-    empty = ~x.any(1)
-    latent = (_latent_input(x, model["idf"]) - model["mean"]) @ model["axes"]
+def _centred(x: np.ndarray, model: dict) -> np.ndarray:
+    """What is decomposed: weighted trigrams and scaled ratios, both about the sample's means."""
     ratios = (x[:, 2 * BUCKETS :] - model["ratio_mean"]) / model["ratio_scale"]
-    v = np.hstack([latent, np.clip(ratios, -4, 4) * model["ratio_weight"]])
+    return np.hstack([_weighted(x, model["idf"]) - model["mean"], np.clip(ratios, -4, 4) * RATIO_WEIGHT])
+
+
+def _embed(x: np.ndarray, model: dict) -> np.ndarray:
+    """Unit latent vectors; zero for texts without features."""
+    v = _centred(x, model) @ model["axes"]
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    v[empty] = 0
+    v[~x.any(1)] = 0
     return v.astype(np.float32)
 
 
@@ -98,23 +103,24 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict:
     if not len(y):
         return {"labels": y, "rate": 0.5}
     idf = np.log((1 + len(x)) / (1 + (x[:, : 2 * BUCKETS] > 0).sum(0))) + 1
-    tf = _latent_input(x, idf)
-    mean = tf.mean(0)
-    tf = tf - mean
-    _, axes = np.linalg.eigh((tf.T @ tf).astype(np.float64))
-    axes = axes[:, ::-1][:, :LATENT]
-    axes = axes / np.maximum((tf @ axes).std(0).mean(), 1e-9)
     ratios = x[:, 2 * BUCKETS :]
     model = {
-        "idf": idf.astype(np.float32), "mean": mean.astype(np.float32), "axes": axes.astype(np.float32),
-        "ratio_mean": ratios.mean(0), "ratio_scale": ratios.std(0) + 1e-3, "ratio_weight": 2.0,
+        "idf": idf.astype(np.float32), "mean": _weighted(x, idf).mean(0).astype(np.float32),
+        "ratio_mean": ratios.mean(0), "ratio_scale": ratios.std(0) + 1e-3,
         "labels": y.astype(np.float32), "rate": float(y.mean()),
     }
+    whole = _centred(x, model)
+    _, axes = np.linalg.eigh((whole.T @ whole).astype(np.float64))
+    model["axes"] = axes[:, ::-1][:, :LATENT].astype(np.float32)
     return model | {"vectors": np.ascontiguousarray(_embed(x, model).T)}
 
 
 def vote(x: np.ndarray, model: dict, k: int = K) -> np.ndarray:
-    """Share of label 1 among the k nearest labelled vectors, weighted by similarity."""
+    """Share of label 1 among the k nearest labelled vectors, weighted by similarity.
+
+    Of vectors that tie for the k-th place the selection takes some; the labelled vectors lie in
+    the order of their ids, so that it always takes the same ones.
+    """
     labels, rate = model["labels"], model["rate"]
     if not len(labels):
         return np.full(len(x), rate)
@@ -138,13 +144,14 @@ def _sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> dict:
     """Fit on at most `sample` rows of labels (doc_id, label) whose document is in docs.
 
-    Rows without a label, id or document are left out; of repeated ids one row counts.
+    Rows without a label, id or document are left out; of repeated ids the greatest label and
+    the text with the least features count.
     The sample's vectors, fixed in number and width, are all that reaches the driver.
     """
     known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     ids = known.join(bounded_ids(known, "doc_id", sample).select("doc_id"), "doc_id", "left_semi")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(_sampled, "doc_id long, label int, x binary")
-    frame = rows.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    frame = rows.toPandas().sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
     x = np.frombuffer(b"".join(frame["x"]), np.float32).reshape(len(frame), -1) if len(frame) else np.zeros((0, 1), np.float32)
     return fit(x, frame["label"].to_numpy(np.float32))
 
@@ -153,7 +160,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score) for each row's whole text.
 
     Null, empty and blank texts have no vector and get the sample's rate of label 1 (0.5 if
-    nothing was learned). Repeated rows each give a row; other columns are not read.
+    nothing was learned). Very long texts are read whole. Repeated rows each give a row; other
+    columns are not read. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
