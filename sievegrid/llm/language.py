@@ -5,10 +5,12 @@ slots is the set of all languages whose filter holds the n-gram. A document's ev
 language is the number of its n-grams with the language's bit (a popcount down the slices),
 less what the filter's false positives alone would give, as the share of what is left.
 
-Learning: character n-grams of words of at most `per_lang` documents a language (a bounded
-sample by a seeded hash of the id, see SAMPLE_PER_LANG). A language's filter takes the
+Learning: character n-grams of words of about `per_lang` documents of each language (a bounded
+sample by a seeded hash of id and text, see SAMPLE_PER_LANG). A language's filter takes the
 n-grams that are at least `share` times as frequent in it as in the language where they are
-most frequent, so that stray foreign passages do not set bits.
+most frequent, so that stray foreign passages do not set bits, and that are at least RATE of the
+language's n-grams: there can be no more than 1 / RATE of them. Slots are set by one OR for all
+languages.
 """
 
 from __future__ import annotations
@@ -26,10 +28,9 @@ from sievegrid.llm.common import held_out, materialize, table
 
 MODULUS, REMAINDER = 4, 2
 ORDERS = (2, 3, 4)
-#: Bounds of the fitted model: documents sampled for a language, languages (the most frequent), n-grams kept for each.
+#: Bounds of the fitted model: documents sampled for a language, share of a language's n-grams that one must have.
 SAMPLE_PER_LANG = 1000
-MOST_LANGS = 256
-GRAMS_PER_LANG = 20_000
+RATE = 1 / 40_000
 SHARE = 0.25
 SLOTS_LOG2 = 18
 HASHES = 2
@@ -86,39 +87,47 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield part.assign(lang=lang)[["lang", "gram", "n"]]
 
 
+def learned_grams(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, share: float = SHARE) -> DataFrame:
+    """(lang, gram): the n-grams of each language's filter, from a sample of docs (doc_id, text, lang)."""
+    sizes = docs.groupBy("lang").agg((per_lang / F.count(F.lit(1))).alias("rate"))
+    draw = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = docs.withColumn("draw", draw).join(F.broadcast(sizes), "lang").where("draw < rate").select("lang", "text")
+    counts = materialize(sample.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    rel = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("p")).where(F.col("p") >= RATE)
+    best = rel.groupBy("gram").agg(F.max("p").alias("most"))
+    return rel.join(best, "gram").where(F.col("p") >= share * F.col("most")).select("lang", "gram")
+
+
+def _bits(langs: list[str]):
+    number = {lang: k for k, lang in enumerate(langs)}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            k = f["lang"].map(number).to_numpy(np.int64)
+            bit = (np.uint64(1) << (k % 64).astype(np.uint64)).view(np.int64)
+            for at in _slots(f["gram"].to_numpy(np.int64).view(np.uint64)):
+                yield pd.DataFrame({"slot": at, "word": k // 64, "bits": bit})
+
+    return run
+
+
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, share: float = SHARE) -> dict:
     """Fit filters on docs (doc_id, text, lang) with a language; the caller leaves held-out rows away.
 
-    The model is of bounded size: 2^SLOTS_LOG2 slots of one bit per language.
+    Every language is learned. The model has 2^SLOTS_LOG2 slots of one bit per language. Of
+    languages with equally many documents the first by name is the most frequent.
     """
-    docs = docs.where("lang is not null and text is not null")
-    counted = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
-    sizes = sorted((r["lang"], r["n"]) for r in counted.collect())
+    docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    sizes = sorted((r["lang"], r["n"]) for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
     langs = [x for x, _ in sizes]
     model = {"langs": langs, "prior": langs[int(np.argmax([n for _, n in sizes]))] if langs else UNDETERMINED}
     if not langs:
         return model
-    rate = F.lit(0.0)
-    for lang, n in sizes:
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = docs.where(draw < rate).select("lang", "text")
-    counts = sample.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = materialize(counts)
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    per = F.lit(None).cast("double")
-    for lang, n in totals.items():
-        per = F.when(F.col("lang") == lang, F.col("n") / float(n)).otherwise(per)
-    rel = counts.where("n > 2").select("lang", "gram", per.alias("p"))
-    best = rel.groupBy("gram").agg(F.max("p").alias("most"))
-    kept = rel.join(best, "gram").where(F.col("p") >= share * F.col("most"))
-    words = (len(langs) + 63) // 64
-    slots = np.zeros((1 << SLOTS_LOG2, words), np.uint64)
-    for k, lang in enumerate(langs):
-        top = kept.where(F.col("lang") == lang).orderBy(F.desc("p"), "gram").limit(GRAMS_PER_LANG).select("gram").toPandas()
-        code = top["gram"].to_numpy(np.int64).view(np.uint64)
-        for at in _slots(code):
-            slots[at, k // 64] |= np.uint64(1 << (k % 64))
+    slots = np.zeros((1 << SLOTS_LOG2, (len(langs) + 63) // 64), np.uint64)
+    set_ = learned_grams(docs, per_lang, share).mapInPandas(_bits(langs), "slot long, word long, bits long")
+    set_ = set_.groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    slots[set_["slot"], set_["word"]] = set_["bits"].to_numpy(np.int64).view(np.uint64)
     fill = [float(((slots[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) for k in range(len(langs))]
     return model | {"slots": slots, "false": [f**HASHES for f in fill]}
 
@@ -164,8 +173,9 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, lang_pred, score) for each row's whole text.
 
     Null texts and texts without a letter are 'und' with score 0; a text with letters but
-    without a known n-gram gets the most frequent learned language. An empty training set
-    gives 'und' everywhere. Repeated rows each give a row; other columns are not read.
+    without a known n-gram gets the most frequent learned language; of languages with equal
+    shares the first by name is taken. An empty training set gives 'und' everywhere. Very long
+    texts are read whole. Repeated rows each give a row; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])

@@ -187,6 +187,31 @@ def test_language_hard_rows(spark):
     assert language.identify(documents(spark, []), model).count() == 0
 
 
+def test_language_matches_exact_sets(spark):
+    """The corrected popcounts against plain sets of each language's n-grams, for 70 languages of two words of bits."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def text(k, seed, n):
+        r, own = random.Random(seed), random.Random(k).sample(letters, 9)
+        return " ".join("".join(r.choice(own) for _ in range(r.randint(2, 7))) for _ in range(n))
+
+    rows = [(100 * k + j, text(k, 100 * k + j, 40), f"l{k:02}", "s") for k in range(70) for j in range(6)]
+    docs = documents(spark, rows)
+    model = language.train(docs)
+    assert len(model["langs"]) == 70 and model["slots"].shape[1] == 2
+    exact = {lang: set() for lang in model["langs"]}
+    for x in language.learned_grams(docs.where("text is not null")).collect():
+        exact[x["lang"]].add(x["gram"])
+    fresh = [(k, text(k, 99_000 + k, 60)) for k in range(70)]
+    names, scores = language.predict_texts([t for _, t in fresh], model)
+    for (k, t), name, score in zip(fresh, names, scores, strict=True):
+        grams = [g for _, _, points, _ in language._chunks([t]) for code, inside in language._grams(points) for g in code[inside].view(np.int64).tolist()]
+        hits = {lang: sum(g in own for g in grams) for lang, own in exact.items()}
+        best = max(hits, key=hits.get)
+        assert name == best and (hits[f"l{k:02}"] < hits[best] or name == f"l{k:02}")
+        assert abs(score - hits[best] / sum(hits.values())) < 0.1
+
+
 # --- Quality
 
 
