@@ -39,7 +39,7 @@ from sievegrid.llm.common import connected_components, materialize, table
 THRESHOLD = 0.93
 SLACK = 0.05
 #: Members of a cluster that are aimed at.
-TARGET = 2000
+TARGET = 1000
 #: Bounds of the fitted index: vectors sampled, centroids of each of the two sets of a label, first centroids of a vector whose splits are compared.
 SAMPLE = 20_000
 CENTROIDS = 4096
