@@ -4,11 +4,10 @@ STAGES names the stages in order; each takes (spark, docs, sf_dir) and returns a
 All but the last return the columns of docs, so that each can be written and read again as
 the next one's docs. Each works on all rows that its predecessor kept.
 
-Rows without text or without an id go through: they are neither toxic nor contaminated, rows
-without words are near copies of each other, of which the one with the smallest id stays
-(rows without an id all stay), and a row without words has no tokens to be chosen for in
-the mix unless its source is taken whole. Repeated rows of one id stay or go together; in
-shards each has a place of its own. Null languages and sources are a branch of their own.
+Rows without text are neither toxic nor contaminated. Rows without words are near copies of each
+other; of each group of near copies one row stays, that with the smallest id (null ids last),
+and a row that is there several times stays once. A row without words has no tokens to be chosen
+for in the mix unless its source is taken whole. Null languages and sources are a branch of their own.
 Other columns are carried along, whatever their names. An empty table goes through as such.
 """
 
@@ -29,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """The row with the smallest id of each group of near copies."""
     return simhash.keep_first(docs)
 
 
@@ -56,7 +55,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: No SQL: four of the stages are fitted or iterative. Tested against a plain version instead.
+#: No SQL: four of the stages are fitted or iterative. The stages' operators are tested against plain versions instead.
 ORACLE_SQL = None
 
 
