@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sievegrid.session import materialize
 
+#: Edges of a partition between the rounds of connected_components().
+EDGES = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,9 +28,15 @@ def bounded_ids(df: DataFrame, id_col: str, bound: int, seed: int = 11) -> DataF
 
 def _is_star(edges: DataFrame) -> bool:
     """edges (u, v), u > v: true when every u has one v and no v is itself a u."""
-    several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
-    chained = edges.select(F.col("v").alias("x")).join(edges.select(F.col("u").alias("x")).distinct(), "x", "left_semi")
-    return several.unionAll(chained.select(F.col("x").alias("u"))).isEmpty()
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionAll(edges.select("v", F.lit(0)))
+    seen = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.count(F.lit(1)).alias("n"))
+    return seen.where("ups > 1 or (ups = 1 and n > 1)").isEmpty()
+
+
+def _edges(df: DataFrame) -> DataFrame:
+    """df computed once, in as many partitions as its rows need: few edges make few shuffle files a round."""
+    out = materialize(df)
+    return out.coalesce(max(1, -(-out.count() // EDGES)))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -38,21 +47,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     without an edge to another node are absent. Self loops, repeated edges and null ends are
     ignored; an empty input gives an empty result.
     """
-    e = materialize(
-        edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    e = _edges(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
         if _is_star(e):
             break
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select("u", F.col("m").alias("v")).unionAll(
             joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        e = materialize(small.where("u != v").distinct())
+        e = _edges(small.where("u != v").distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
