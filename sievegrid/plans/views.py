@@ -23,14 +23,17 @@ samples as (
   from documents left join labels using (doc_id))"""
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").cast("string").alias("sample_id"), "text", F.col("lang").alias("target"), "source", F.col("source").alias("group_id"),
+def _labelled(docs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
+    return docs.join(labels.select("doc_id", "quality"), "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("sample_id"), *more, F.col("lang").alias("target"), "source", F.col("source").alias("group_id"),
         F.when(F.col("quality").isNotNull(), "labeled").otherwise("unlabeled").alias("label_status"), F.col("doc_id").alias("ordinal"),
     )
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "text")
+
+
 KEYED = (
     SAMPLES
     + """,
@@ -42,7 +45,10 @@ keyed as (
 
 
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).withColumn("exact", fp.text_exact("text")).withColumn("template", fp.text_template("text"))
+    """Samples with their fingerprints and the length of their text, but without it: hashed before the join, so that no text is shuffled."""
+    docs = table(spark, sf_dir, "documents")
+    hashed = docs.select("doc_id", "lang", "source", fp.text_exact("text").alias("exact"), fp.text_template("text").alias("template"), F.length("text").alias("chars"))
+    return _labelled(hashed, table(spark, sf_dir, "labels"), "exact", "template", "chars")
 
 
 SOURCES = (
@@ -59,10 +65,35 @@ sources as (
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three overlapping annotations of the samples, at two priorities."""
-    base = samples(spark, sf_dir)
-    review = base.where("ordinal % 3 = 0").withColumn("target", F.when(F.col("ordinal") % 6 == 0, "xx").otherwise(F.col("target"))).withColumn("source", F.lit("review"))
-    late = base.where("ordinal % 5 = 0").withColumn("source", F.lit("late"))
-    return base.withColumn("priority", F.lit(10)).unionByName(review.withColumn("priority", F.lit(20))).unionByName(late.withColumn("priority", F.lit(10)))
+    base, n = samples(spark, sf_dir), F.col("ordinal")
+
+    def version(target, source, priority: int):
+        return F.struct(F.col(target).alias("target") if isinstance(target, str) else target.alias("target"), source.alias("source"), F.lit(priority).alias("priority"))
+
+    corrected = F.when(n % 6 == 0, "xx").otherwise(F.col("target"))
+    late = F.when(n % 5 == 0, version("target", F.lit("late"), 10))
+    versions = F.array_compact(F.array(version("target", F.col("source"), 10), F.when(n % 3 == 0, version(corrected, F.lit("review"), 20)), late))
+    kept = [c for c in base.columns if c not in ("target", "source")]
+    return base.withColumn("_v", F.explode(versions)).select(*kept, "_v.*")
+
+
+FLAWED = (
+    SAMPLES
+    + """,
+flawed as (
+  select ordinal, case when ordinal % 97 = 0 then ' ' else sample_id end as sample_id, case when ordinal % 89 = 1 then null else source end as source,
+         case when ordinal % 83 = 2 then '' else group_id end as group_id, case when ordinal % 79 = 3 then 'odd' else label_status end as label_status
+  from samples)"""
+)
+
+
+def flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of which some break the contract."""
+    n, own = F.col("ordinal"), F.col
+    return samples(spark, sf_dir).select(
+        "ordinal", F.when(n % 97 == 0, " ").otherwise(own("sample_id")).alias("sample_id"), F.when(n % 89 != 1, own("source")).alias("source"),
+        F.when(n % 83 == 2, "").otherwise(own("group_id")).alias("group_id"), F.when(n % 79 == 3, "odd").otherwise(own("label_status")).alias("label_status"),
+    )
 
 
 PARTITIONS = (
@@ -78,9 +109,10 @@ DATASETS = ["a_train", "b_dev", "c_hist", "d_test"]
 
 def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four partitions by id, some training rows also in the test."""
-    k, o = keyed(spark, sf_dir), F.col("ordinal") % 10
+    o = F.col("ordinal") % 10
     name = F.when(o == 0, "b_dev").when(o == 1, "c_hist").when(o == 2, "d_test").otherwise("a_train")
-    return k.withColumn("dataset", name).unionByName(k.where("ordinal % 70 = 3").withColumn("dataset", F.lit("d_test")))
+    names = F.array_compact(F.array(name, F.when(F.col("ordinal") % 70 == 3, "d_test")))
+    return keyed(spark, sf_dir).withColumn("dataset", F.explode(names))
 
 
 PAIRS = f"""
