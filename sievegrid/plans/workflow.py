@@ -1,4 +1,4 @@
-"""Validate, train, predict and evaluate: the four commands over text samples."""
+"""Validate, train, predict and evaluate: the four commands over the samples of any task."""
 
 from __future__ import annotations
 
@@ -13,10 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.functions import fingerprints as fp
-from sievegrid.operators import leakage, metrics, parsing, prepare
-from sievegrid.operators.model import Classifier, Settings, fit
-from sievegrid.plans import runs
+from sievegrid.operators import leakage, prepare
+from sievegrid.plans import runs, tasks
 from sievegrid.sources import records
 
 FIRST_PROBLEMS = 20
@@ -24,17 +22,17 @@ FIRST_PROBLEMS = 20
 KEYS = "lineage_keys"
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
+def load(spark: SparkSession, path: str, kind=tasks.TEXT) -> DataFrame:
     """The samples of a JSON or JSONL file with their fingerprints; the first problems of an invalid one are an error."""
     read = records.read_jsonl if Path(path).suffix.lower() in (".jsonl", ".ndjson") else records.read_json
-    rows = parsing.text_samples(records.require_valid(read(spark, path)))
+    rows = kind.samples(records.require_valid(read(spark, path)))
     bad = rows.where("problem is not null").select("path", "line", "problem").orderBy("path", "line").limit(FIRST_PROBLEMS).collect()
     if bad:
         raise ValueError("; ".join(f"{r['path']}:{r['line']}: {r['problem']}" for r in bad))
     twice = prepare.repeated_ids(rows).orderBy("sample_id").limit(FIRST_PROBLEMS).collect()
     if twice:
         raise ValueError("repeated sample_id: " + ", ".join(r["sample_id"] for r in twice))
-    return rows.withColumn("exact", fp.inputs_exact("text", "features")).withColumn("template", fp.text_template("text"))
+    return rows
 
 
 def hashes(spark: SparkSession, datasets: dict[str, runs.Dataset]) -> dict[str, str]:
@@ -54,18 +52,19 @@ def isolation(samples: dict[str, DataFrame], specs: dict[str, runs.Dataset]) ->
     return report | {"overlaps": overlaps, "datasets": {k: {"purpose": v["purpose"], "count": v["count"], "coverage": coverage[k]} for k, v in known.items()}}, keys
 
 
-def counts(samples: DataFrame) -> dict:
-    rows = prepare.preparation_counts(prepare.exclusion_reasons(samples)).collect()
+def counts(samples: DataFrame, kind=tasks.TEXT) -> dict:
+    rows = prepare.preparation_counts(kind.prepared(samples)).collect()
     return {m: {r["value"]: r["rows"] for r in rows if r["measure"] == m} for m in ("reason", "class")}
 
 
 def validate(spark: SparkSession, task: runs.Task) -> dict:
     if not task.datasets:
         raise ValueError("no datasets configured")
+    kind = tasks.resolve(task.task_id)
 
     def work(folder: Path) -> dict:
-        samples = {k: load(spark, d.path) for k, d in task.datasets.items()}
-        summary = {k: counts(s) for k, s in samples.items()}
+        samples = {k: load(spark, d.path, kind) for k, d in task.datasets.items()}
+        summary = {k: counts(s, kind) for k, s in samples.items()}
         report, _ = isolation(samples, task.datasets)
         for name, value in (("data_summary", summary), ("split_report", report), ("input_hashes", hashes(spark, task.datasets))):
             records.write_json(value, folder / f"{name}.json")
@@ -82,22 +81,21 @@ def _protected(task: runs.Task, *more: str) -> tuple:
 def train(spark: SparkSession, task: runs.Task) -> dict:
     """Train on the training set and report on development sets; test sets are not opened."""
     used = task.for_training()
+    kind = tasks.resolve(task.task_id)
 
     def work(folder: Path) -> dict:
-        samples = {k: load(spark, d.path) for k, d in used.items()}
+        samples = {k: load(spark, d.path, kind) for k, d in used.items()}
         report, keys = isolation(samples, used)
         records.write_json(report, folder / "split_report.json")
         records.write_json(hashes(spark, used), folder / "input_hashes.json")
         leakage.require(report, for_training=True)
         name = next(k for k, d in used.items() if d.purpose == "train")
-        records.write_json(counts(samples[name]), folder / "data_summary.json")
-        ready = prepare.exclusion_reasons(samples[name]).where("reason is null")
-        width = ready.agg(F.max(F.size("features"))).first()[0] or 0
-        model = fit(ready, "text", "training_target", "features" if width else None, Settings(backend=task.backend, seed=task.seed, **task.parameters))
+        records.write_json(counts(samples[name], kind), folder / "data_summary.json")
+        model = kind.fit(kind.prepared(samples[name]).where("reason is null"), task)
         model.save(folder / "model")
         leakage.lineage(keys).write.parquet(str(folder / KEYS))
         records.write_json({"version": 1, "entries": report["datasets"], "keys": KEYS}, folder / "lineage.json")
-        tested = {k: evaluated(model.predict(s, "text", "features" if width else None)) for k, s in samples.items() if used[k].purpose == "development"}
+        tested = {k: kind.evaluate(kind.predict(model, s), task.evaluation_mode) for k, s in samples.items() if used[k].purpose == "development"}
         records.write_json(tested, folder / "development_metrics.json")
         runs.seal(folder, task.task_id, task.backend)
         return {"artifact": str(folder), "development_metrics": tested}
@@ -105,41 +103,33 @@ def train(spark: SparkSession, task: runs.Task) -> dict:
     return runs.run(task.run_root, "train", asdict(task), work, _protected(task))
 
 
-def evaluated(predicted: DataFrame) -> dict:
-    """The classification report of predictions whose samples are all labelled."""
-    if not predicted.where("target is null or label_status != 'labeled'").isEmpty():
-        raise ValueError("evaluation needs labelled samples")
-    counted = metrics.confusion(predicted, gold="target", predicted="predicted")
-    if counted.isEmpty():
-        raise ValueError("evaluation needs samples")
-    report = {r["name"]: {k: r[k] for k in ("precision", "recall", "f1", "support")} for r in metrics.classification_report(counted).collect()}
-    return {"report": report, "confusion": sorted(([r["gold"], r["predicted"], r["n"]] for r in counted.collect()))}
-
-
-def _opened(spark: SparkSession, artifact: str) -> tuple[Classifier, dict]:
+def _opened(spark: SparkSession, artifact: str) -> tuple:
+    """The task of an artifact, its model, its lineage, and the configuration that it was trained with."""
     manifest = runs.open_artifact(artifact)
-    model = Classifier.load(spark, Path(artifact) / manifest["model_path"])
-    return model, json.loads((Path(artifact) / manifest["lineage_path"]).read_text(encoding="utf-8"))
+    kind = tasks.resolve(manifest["task_id"])
+    lineage, config = (json.loads((Path(artifact) / manifest[k]).read_text(encoding="utf-8")) for k in ("lineage_path", "config_path"))
+    return kind, kind.open(spark, Path(artifact) / manifest["model_path"]), lineage, config
 
 
 def predict(spark: SparkSession, artifact: str, path: str, run_root: str) -> dict:
     def work(folder: Path) -> dict:
-        model, _ = _opened(spark, artifact)
-        out = model.predict(load(spark, path), "text", "features" if model.width else None)
-        records.write_jsonl(out.select("sample_id", F.col("predicted").alias("label"), "probabilities"), str(folder / "predictions"))
+        kind, model, _, _ = _opened(spark, artifact)
+        out = kind.predict(model, load(spark, path, kind))
+        records.write_jsonl(kind.output(out), str(folder / "predictions"))
         return {"predictions": str(folder / "predictions")}
 
     return runs.run(run_root, "predict", {"artifact": artifact, "input": path}, work, (artifact, path))
 
 
-def evaluate(spark: SparkSession, artifact: str, dataset: runs.Dataset, run_root: str) -> dict:
-    """Check the data against all that the artifact has seen, put its use on record, then score it."""
+def evaluate(spark: SparkSession, artifact: str, dataset: runs.Dataset, run_root: str, mode: str | None = None) -> dict:
+    """Check the data against all that the artifact has seen, put its use on record, then score it; the mode is the configured one unless given."""
     if dataset.purpose == "train":
         raise ValueError("training data is not for evaluation")
 
     def work(folder: Path) -> dict:
-        model, lineage = _opened(spark, artifact)
-        samples = load(spark, dataset.path)
+        kind, model, lineage, config = _opened(spark, artifact)
+        chosen = mode or config.get("evaluation_mode")
+        samples = load(spark, dataset.path, kind)
         report, keys = isolation({"evaluation": samples}, {"evaluation": dataset})
         own, incoming = report["datasets"]["evaluation"], leakage.lineage(keys)
         records.write_json(asdict(dataset), folder / "evaluation_spec.json")
@@ -158,14 +148,18 @@ def evaluate(spark: SparkSession, artifact: str, dataset: runs.Dataset, run_root
         try:
             with runs.evaluation(artifact, folder.name, check, usage) as allowed:
                 records.write_json(allowed, folder / "lineage_report.json")
-                out = model.predict(samples, "text", "features" if model.width else None)
-                result = evaluated(out)
+                out = kind.predict(model, samples)
+                result = kind.evaluate(out, chosen)
         except runs.Ineligible as e:
             shutil.rmtree(Path(artifact) / name)
             records.write_json(e.report, folder / "lineage_report.json")
             raise
-        records.write_jsonl(out.select("sample_id", F.col("predicted").alias("label"), "probabilities"), str(folder / "predictions"))
+        records.write_jsonl(kind.output(out), str(folder / "predictions"))
+        slices = kind.slices(out, chosen)
         result = {"purpose": dataset.purpose, "independent_test_eligible": allowed["independent_test_eligible"], "metrics": result}
+        if slices is not None:
+            records.write_jsonl(slices, str(folder / "slices"))
+            result["slices"] = str(folder / "slices")
         records.write_json(result, folder / "metrics.json")
         return result
 
@@ -187,6 +181,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             p.add_argument("--purpose", required=True)
             p.add_argument("--provenance", default="")
             p.add_argument("--independent", action="store_true")
+            p.add_argument("--mode")
     a = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("sievegrid").getOrCreate()
     try:
@@ -195,7 +190,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         elif a.command == "predict":
             result = predict(spark, a.artifact, a.input, a.run_root)
         else:
-            result = evaluate(spark, a.artifact, runs.Dataset(a.input, a.purpose, a.provenance, a.independent), a.run_root)
+            result = evaluate(spark, a.artifact, runs.Dataset(a.input, a.purpose, a.provenance, a.independent), a.run_root, a.mode)
     except KeyboardInterrupt:
         return 130
     except Exception as e:
