@@ -19,6 +19,7 @@ from sievegrid.operators import evidence, metrics, parsing, prepare
 from sievegrid.operators.decisions import Thresholds
 from sievegrid.operators.model import Classifier, Settings, fit
 from sievegrid.plans import datasets, runs
+from sievegrid.session import materialize
 from sievegrid.sources.records import write_json
 
 MODES = ("semantic", "tdp_v2")
@@ -123,7 +124,12 @@ class UploadTask:
 
     def predict(self, model: UploadModel, samples: DataFrame) -> DataFrame:
         scored = datasets.success_probability(samples, model.classifier)
-        return evidence.judge(evidence.with_rule(evidence.with_features(scored)), thresholds=model.thresholds)
+        return self.judged(scored, model.thresholds)
+
+    def judged(self, scored: DataFrame, thresholds: Thresholds | None = None) -> DataFrame:
+        """Verdicts, computed once: scores and slices read them several times, and the evidence makes large plans."""
+        out = evidence.judge(evidence.with_rule(evidence.with_features(scored)), thresholds=thresholds)
+        return materialize(out.select(*[c for c in out.columns if c not in ("f", "file_ext")], F.col("f.file_ext").alias("file_ext")))
 
     def output(self, predicted: DataFrame) -> DataFrame:
         return predicted.select(F.col("sample_id").alias("event_id"), "verdict", "confidence", "p_success", "decided_by", "evidence", "negative_evidence")
@@ -154,7 +160,7 @@ class UploadTask:
         judged, binary = self._judged(predicted, mode)
         keys = {
             "status_code": F.col("status_code").cast("string"), "status_family": tx.status_family("status_code"),
-            "extension": F.when(F.col("f.file_ext") == "", "<none>").otherwise(F.col("f.file_ext")), "template_cluster": fp.cluster_key("body"),
+            "extension": F.when(F.col("file_ext") == "", "<none>").otherwise(tx.bare_extension("file_ext")), "template_cluster": fp.cluster_key("body"),
         }
         counted = metrics.sliced(judged, keys, top={"template_cluster": 100})
         return (metrics.compatible_summary if binary else metrics.semantic_summary)(counted, ["slice", "key"])
