@@ -5,13 +5,16 @@ The place whose short word gram hashes lowest (the minimiser) is chosen by conte
 two copies of a passage choose the same place in it. Only the suffixes at chosen places are
 kept: a sparse suffix array, of which a few hundredths of all positions remain.
 
-Sorting the suffixes by their first PREFIX words brings equal ones together; those that two
-documents share are candidates. They are extended to the left and to the right at once: a
-candidate whose whole surroundings (all words that a passage of LEAST words over its prefix
-can reach) are shared lies inside a repeat; for the others, every passage of LEAST words over
-the prefix is compared. What is shared is merged into maximal spans. No pair of documents is
-ever formed, and every comparison is a partial minimum and maximum per hash, so a passage in
-very many documents costs no more in one task than any other.
+The kept suffixes are sorted over the whole table, by their first PREFIX words (a word block's
+place in the order is that of its hash) and then by all the words around them that a passage of
+LEAST words over the prefix can reach. Rows are dealt by ranges of that order, so that a prefix
+in very many documents is spread over as many ranges as it needs. Neighbours in the order are
+then compared: suffixes that share their prefix with another document's are candidates, and
+those whose surroundings are shared too are extended left and right as far as a passage can
+reach at once. Runs that touch the border of a range are settled over all ranges by partial
+minima and maxima. For the candidates that no neighbour settles, every passage of LEAST words
+over the prefix is compared. What is shared is merged into maximal spans. No pair of documents
+is ever formed, and no run of equal suffixes is gathered into one task.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ GRAM = 5
 _BASE = 0x9E3779B97F4A7C15
 _CACHE = 300_000
 _PIECE = 1 << 18
+#: Suffixes of one range of the order.
+RANGE = 500_000
+_INSIDE, _PLACE, _BORDER = 0, 1, 2
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -124,6 +130,63 @@ def _kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "at", "h", "around"])
 
 
+def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What the neighbours in one range of the order (h, around, key, at) say of its suffixes.
+
+    _INSIDE: another document has the same surroundings. _PLACE: another has the prefix, and the
+    passages over it are to be compared. _BORDER: the run of the prefix may go on in another
+    range. Suffixes whose prefix no other document has are left out.
+    """
+    read = list(frames)
+    if not sum(map(len, read)):
+        return
+    f = pd.concat(read, ignore_index=True)
+    h, around, key, at = (f[c].to_numpy() for c in ("h", "around", "key", "at"))
+    new_run = np.concatenate(([True], h[1:] != h[:-1]))
+    new_class = new_run | np.concatenate(([True], around[1:] != around[:-1]))
+    run, group = np.cumsum(new_run) - 1, np.cumsum(new_class) - 1
+    first, runs = np.flatnonzero(new_class), np.flatnonzero(new_run)
+    last = np.append(first[1:], len(f)) - 1
+    settled = (key[first] != key[last])[group]
+    shared = (np.minimum.reduceat(key, runs) != np.maximum.reduceat(key, runs))[run]
+    open_ = np.logical_or.reduceat(~settled, runs)[run]
+    # of a class with equal surroundings two documents say all there is to compare
+    speaks = np.zeros(len(f), bool)
+    speaks[first] = speaks[last] = True
+    border = (run == 0) | (run == run[-1])
+    inside = settled & ~border
+    place = shared & ~border & (~settled | (open_ & speaks))
+    for kind, chosen in ((_INSIDE, inside), (_PLACE, place), (_BORDER, border)):
+        whole = kind == _BORDER
+        yield pd.DataFrame(
+            {"kind": np.int8(kind), "key": key[chosen], "at": at[chosen], "h": h[chosen] if whole else 0, "around": around[chosen] if whole else 0}
+        )
+
+
+def suffix_order(kept: DataFrame, rows: int, per_range: int) -> DataFrame:
+    """kept (key, at, h, around, salt) in ranges of the order of the suffixes, each sorted.
+
+    Rows that are equal in everything differ in the salt, so that repeated documents split as well.
+    """
+    order = ["h", "around", "key", "at", "salt"]
+    return kept.repartitionByRange(max(1, -(-rows // per_range)), *order).sortWithinPartitions(*order)
+
+
+def _settle(border: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(inside, places), each (key, at), of the runs that touch a border, over all ranges."""
+    classes = materialize(
+        border.groupBy("h", "around").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.min(F.struct("key", "at")).alias("first"), F.max(F.struct("key", "at")).alias("last"))
+    )
+    runs = classes.groupBy("h").agg((F.min("a") != F.max("z")).alias("shared"), F.max(F.expr("a = z")).alias("open"))
+    # written, so that the joins have exchanges of their own, which can be split where many share a prefix
+    runs = materialize(runs.where("shared").select("h", "open"))
+    said = materialize(classes.join(runs, "h"))
+    inside = border.join(said.where("a != z").select("h", "around"), ["h", "around"]).select("key", "at")
+    single = border.join(said.where("a = z").select("h", "around"), ["h", "around"]).select("key", "at")
+    speakers = said.where("a != z and open").select(F.explode(F.array("first", "last")).alias("x")).select("x.key", "x.at")
+    return inside, single.unionAll(speakers)
+
+
 def _passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All passages of LEAST words that contain the prefix of one of the given suffixes."""
     read = Reader()
@@ -153,7 +216,7 @@ def _merged(starts: pd.Series, ends: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, per_range: int = RANGE) -> DataFrame:
     """(doc_id, start, end, n_words): the maximal runs of words (from 0; end excluded) of each
     document that are covered by passages of LEAST or more words that another document has too.
 
@@ -163,23 +226,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     arrays = docs.select("key", "text").mapInPandas(_kept, "key long, at array<int>, h array<long>, around array<long>")
-    packed = materialize(arrays)
-    kept = packed.select("key", F.explode(F.arrays_zip("at", "h", "around")).alias("x")).select("key", "x.at", "x.h", "x.around")
-    # written, so that the join has an exchange of its own, which can be split where many share a prefix
-    shared = materialize(kept.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").select("h"))
-    around = F.when(F.col("around") == 0, F.xxhash64("key", "at")).otherwise(F.col("around"))
-    candidates = materialize(kept.join(shared, "h").select("key", "at", "h", around.alias("around")))
-    classes = materialize(
-        candidates.groupBy("h", "around").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.min(F.struct("key", "at")).alias("first"), F.max(F.struct("key", "at")).alias("last"))
-    )
-    open_ = materialize(classes.where("a = z").select("h").distinct())
-    inside = candidates.join(classes.where("a != z").select("h", "around"), ["h", "around"]).select(
-        "key", (F.col("at") - (LEAST - PREFIX)).alias("start"), (F.col("at") + LEAST).alias("end")
-    )
-    single = candidates.join(classes.where("a = z").select("h", "around"), ["h", "around"]).select("key", "at")
-    # of a class with equal surroundings two documents say all there is to compare
-    speakers = classes.where("a != z").join(open_, "h", "left_semi").select(F.explode(F.array("first", "last")).alias("x")).select("x.key", "x.at")
-    places = single.unionAll(speakers).groupBy("key").agg(F.collect_list("at").alias("places"))
+    packed = materialize(arrays.withColumn("salt", (F.monotonically_increasing_id() % 1024).cast("short")))
+    rows = packed.agg(F.sum(F.size("at"))).first()[0] or 0
+    kept = packed.select("key", "salt", F.explode(F.arrays_zip("at", "h", "around")).alias("x")).select("key", "x.at", "x.h", "x.around", "salt")
+    # suffixes without all of their surroundings are in a class of their own
+    kept = kept.withColumn("around", F.when(F.col("around") == 0, F.xxhash64("key", "at")).otherwise(F.col("around")))
+    found = materialize(suffix_order(kept, rows, per_range).mapInPandas(_neighbours, "kind byte, key long, at int, h long, around long"))
+    inside, places = _settle(found.where(F.col("kind") == _BORDER))
+    inside = found.where(F.col("kind") == _INSIDE).select("key", "at").unionAll(inside)
+    inside = inside.select("key", (F.col("at") - (LEAST - PREFIX)).alias("start"), (F.col("at") + LEAST).alias("end"))
+    places = found.where(F.col("kind") == _PLACE).select("key", "at").unionAll(places)
+    places = places.groupBy("key").agg(F.collect_list("at").alias("places"))
     texts = docs.select("key", "text")
     packed = materialize(texts.join(places, "key").mapInPandas(_passages, "key long, start array<int>, passage array<long>"))
     passages = packed.select("key", F.explode(F.arrays_zip("start", "passage")).alias("x")).select("key", "x.start", "x.passage")

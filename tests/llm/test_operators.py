@@ -667,7 +667,8 @@ def plain_spans(docs):
     return out
 
 
-def test_spans_match_plain_version(spark):
+@pytest.mark.parametrize("per_range", [suffixes.RANGE, 60])
+def test_spans_match_plain_version(spark, per_range):
     r = random.Random(9)
     passages = [prose(500 + k, n).split() for k, n in enumerate((49, 50, 51, 60, 85, 120, 400))]
     docs = []
@@ -681,7 +682,7 @@ def test_spans_match_plain_version(spark):
             words[at:at] = p
         docs.append((i, " ".join(words)))
     docs += [(1000 + i, prose(31, 90) + f" edit{i} " + prose(32, 130)) for i in range(12)] + [(2000, docs[3][1]), (2001, "again " * 200), (2002, "other " * 60)]
-    got = {(x["doc_id"], x["start"], x["end"]) for x in suffixes.repeated_spans(documents(spark, [(*d, "en", "s") for d in docs])).collect()}
+    got = {(x["doc_id"], x["start"], x["end"]) for x in suffixes.repeated_spans(documents(spark, [(*d, "en", "s") for d in docs]), per_range).collect()}
     assert got == plain_spans(docs)
 
 
