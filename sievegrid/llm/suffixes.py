@@ -134,8 +134,9 @@ def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What the neighbours in one range of the order (h, around, key, at) say of its suffixes.
 
     _INSIDE: another document has the same surroundings. _PLACE: another has the prefix, and the
-    passages over it are to be compared. _BORDER: the run of the prefix may go on in another
-    range. Suffixes whose prefix no other document has are left out.
+    passages over it are to be compared. _BORDER: what no neighbour in this range can say, as the
+    run goes on in another range, and for each run at a border the rows with its extreme keys.
+    Suffixes whose prefix no other document has are left out.
     """
     read = list(frames)
     if not sum(map(len, read)):
@@ -153,9 +154,16 @@ def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     # of a class with equal surroundings two documents say all there is to compare
     speaks = np.zeros(len(f), bool)
     speaks[first] = speaks[last] = True
-    border = (run == 0) | (run == run[-1])
-    inside = settled & ~border
-    place = shared & ~border & (~settled | (open_ & speaks))
+    at_border = (run == 0) | (run == run[-1])
+    cut = (group == 0) | (group == group[-1])
+    waits = at_border & ~settled & (cut | ~shared)
+    border = waits.copy()
+    border[[first[0], last[0], first[-1], last[-1]]] = True
+    for start, end in ((0, runs[1] if len(runs) > 1 else len(f)), (runs[-1], len(f))):
+        border[[start + key[start:end].argmin(), start + key[start:end].argmax()]] = True
+    # whether a run at a border has a lone class in another range is not known: its classes always speak
+    place = shared & ~waits & (~settled | ((open_ | at_border) & speaks))
+    inside = settled
     for kind, chosen in ((_INSIDE, inside), (_PLACE, place), (_BORDER, border)):
         whole = kind == _BORDER
         yield pd.DataFrame(
@@ -173,17 +181,20 @@ def suffix_order(kept: DataFrame, rows: int, per_range: int) -> DataFrame:
 
 
 def _settle(border: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(inside, places), each (key, at), of the runs that touch a border, over all ranges."""
+    """(inside, places), each (key, at), of the _BORDER rows of all ranges.
+
+    A class or run that several ranges share has its extreme keys here from each of them. Some
+    rows were settled in their range already; what is said of them again changes no span.
+    """
     classes = materialize(
         border.groupBy("h", "around").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.min(F.struct("key", "at")).alias("first"), F.max(F.struct("key", "at")).alias("last"))
     )
-    runs = classes.groupBy("h").agg((F.min("a") != F.max("z")).alias("shared"), F.max(F.expr("a = z")).alias("open"))
     # written, so that the joins have exchanges of their own, which can be split where many share a prefix
-    runs = materialize(runs.where("shared").select("h", "open"))
+    runs = materialize(classes.groupBy("h").agg(F.min("a").alias("x"), F.max("z").alias("y")).where("x != y").select("h"))
     said = materialize(classes.join(runs, "h"))
     inside = border.join(said.where("a != z").select("h", "around"), ["h", "around"]).select("key", "at")
     single = border.join(said.where("a = z").select("h", "around"), ["h", "around"]).select("key", "at")
-    speakers = said.where("a != z and open").select(F.explode(F.array("first", "last")).alias("x")).select("x.key", "x.at")
+    speakers = said.where("a != z").select(F.explode(F.array("first", "last")).alias("x")).select("x.key", "x.at")
     return inside, single.unionAll(speakers)
 
 
