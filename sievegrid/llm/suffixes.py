@@ -233,7 +233,8 @@ def repeated_spans(docs: DataFrame, per_range: int = RANGE) -> DataFrame:
 
     Words are what lies between white space, compared exactly. Rows that are equal in id and
     text are one document; other rows are different documents even if their ids are equal or
-    null. Null, empty and shorter texts have no spans. Other columns are not read.
+    null. Null, empty and shorter texts have no spans. Very long texts are read whole, one at a
+    time. Other columns are not read. per_range is about how many suffixes one task sorts.
     """
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     arrays = docs.select("key", "text").mapInPandas(_kept, "key long, at array<int>, h array<long>, around array<long>")

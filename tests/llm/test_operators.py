@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -693,6 +694,26 @@ def test_minimisers_are_dense_enough():
     assert all(((at >= s) & (at < s + reach)).any() for s in range(len(words) - suffixes.LEAST + 1))
 
 
+def test_ranges_say_what_one_range_says():
+    """Wherever the order is cut, the neighbours and the rows at borders settle the same suffixes."""
+    rows = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rows.integers(1, 120))
+        f = pd.DataFrame({"h": rows.integers(0, 4, n), "around": rows.integers(0, 5, n), "key": rows.integers(0, 4, n), "at": rows.permutation(n)})
+        f = f.sort_values(["h", "around", "key", "at"], ignore_index=True)
+        settled = f.groupby(["h", "around"])["key"].transform("nunique") > 1
+        lone = (f.groupby("h")["key"].transform("nunique") > 1) & ~settled
+        cuts = [0, *sorted(rows.integers(0, n + 1, rows.integers(0, 12))), n]
+        said = pd.concat([x for a, z in zip(cuts, cuts[1:], strict=False) for x in suffixes._neighbours(iter([f.iloc[a:z]]))])
+        border = said[said["kind"] == suffixes._BORDER]
+        together = border.groupby(["h", "around"])["key"].transform("nunique") > 1
+        known = border.groupby("h")["key"].transform("nunique") > 1
+        inside = set(said["at"][said["kind"] == suffixes._INSIDE]) | set(border["at"][together])
+        places = set(said["at"][said["kind"] == suffixes._PLACE]) | set(border["at"][known & ~together])
+        assert inside == set(f["at"][settled])
+        assert set(f["at"][lone]) <= places
+
+
 def test_spans_hard_rows(spark):
     assert suffixes.repeated_spans(documents(spark, HARD)).count() == 0
     assert suffixes.repeated_spans(documents(spark, [])).count() == 0
