@@ -80,6 +80,9 @@ def test_acceptance_is_used_once(spark, tmp_path):
         acceptance.accept(gold, other, gold, tmp_path)
     changed = gold.withColumn("confidence", F.when(F.col("event_id") == "g7", 0.1).otherwise(F.col("confidence")))
     assert acceptance.parity(gold, changed) == {"mismatches": 1, "first": ["g7"], "passed": False}
+    late = changed.withColumn("confidence", F.lit(0.9)).withColumn("verdict", F.when(F.col("event_id") == "g99", "none").otherwise(F.col("verdict")))
+    assert not acceptance.parity(gold, late)["passed"] and acceptance.parity(gold, late, first=50)["passed"]
+    assert acceptance.accept(gold, other, late, tmp_path, smoke=True)["gates"]["parity"]["no_mismatch"]
     assert "| a | 0.5000 |" in acceptance.to_markdown("T", {"x": [{"n": "a", "v": 0.5}]})
 
 
