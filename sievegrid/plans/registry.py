@@ -225,8 +225,8 @@ def ranked_templates(spark, sf):
 @query("gold_split")
 def gold_split(spark, sf):
     """Gold rows: the labelled documents; the tuning part is 55 % of them."""
-    rows = views.keyed(spark, sf).where("label_status = 'labeled'").select("sample_id", "target", "template", "exact", "ordinal")
-    clean = dedup.template_capped(rows, "template", "target", "ordinal", 1 << 30, exclude_conflicts=True).select("sample_id", "target", "template")
+    rows = materialize(views.keyed(spark, sf).where("label_status = 'labeled'").select("sample_id", "target", "template"))
+    clean = materialize(dedup.without_blocked(rows, dedup.label_conflicts(rows, "template", "target"), "template"))
     return splitting.template_grouped_split(clean, "target", "template", "sample_id", clean.count() * 55 // 100, 42)
 
 

@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import random
+import time
 import re
 
 import pytest
@@ -123,6 +125,64 @@ def test_gold_split_is_exact_and_keeps_templates(spark):
     assert len({(r["t"], r["part"]) for r in out}) == len({r["t"] for r in out})
 
 
+def plain_subset(sizes, target):
+    ways = {0: ()}
+    for name, n in sizes:
+        for total, way in sorted(ways.items(), reverse=True):
+            if total + n <= target and total + n not in ways:
+                ways[total + n] = (*way, name)
+    return list(ways[target]) if target in ways else None
+
+
+def test_exact_subset_is_the_first_way_of_a_plain_search():
+    r = random.Random(5)
+    pools = [1], [1, 2], [2, 4], [2, 3], [1, 1, 1, 7], [3, 6, 50], [4, 4, 5], [10, 15, 6], [1] * 20 + [90], range(1, 30)
+    for _ in range(2000):
+        pool = r.choice(pools)
+        sizes = [(str(i), r.choice(pool)) for i in range(r.randint(0, 30))]
+        target = r.randint(0, sum(n for _, n in sizes) + 2)
+        assert splitting.exact_subset(sizes, target) == plain_subset(sizes, target)
+
+
+def test_exact_subset_of_many_templates():
+    """Sizes mostly one, as the templates of a large table: no pass over all sums for each."""
+    sizes = [(str(i), 2 if i % 50 == 3 else 1) for i in range(20_000)]
+    began = time.process_time()
+    found = splitting.exact_subset(sizes, 11_220)
+    assert time.process_time() - began < 5
+    assert sum(dict(sizes)[name] for name in found) == 11_220
+
+
+def test_gold_split_takes_the_first_way_of_each_label(spark):
+    r = random.Random(9)
+    clusters = [(f"v{i % 3}", f"t{i}", r.choice([1, 1, 1, 2, 5, 40 if i % 3 == 1 else 3])) for i in range(120)]
+    rows = spark.createDataFrame([(f"{t}.{j}", v, t) for v, t, n in clusters for j in range(n)], "id string, v string, t string")
+    counts = {v: sum(n for w, _, n in clusters if w == v) for v, _, _ in clusters}
+    digest = lambda x: hashlib.sha256(f"7:{x}".encode()).hexdigest()
+    tune = set()
+    for v, target in splitting.tune_targets(counts, rows.count() * 55 // 100).items():
+        tune |= set(plain_subset(sorted(((t, n) for w, t, n in clusters if w == v), key=lambda x: digest(x[0])), target))
+    got = splitting.template_grouped_split(rows, "v", "t", "id", rows.count() * 55 // 100, 7).collect()
+    assert len(got) == rows.count() and {x["t"] for x in got if x["part"] == "tune"} == tune and not any(x["part"] == "tune" for x in got if x["t"] not in tune)
+    for part in ("tune", "regress"):
+        ids = [x["id"] for x in sorted(got, key=lambda x: x["position"]) if x["part"] == part]
+        assert ids == sorted(ids, key=digest)
+
+
+def test_gold_split_errors(spark):
+    def split(rows, size):
+        return splitting.template_grouped_split(spark.createDataFrame(rows, "id string, v string, t string"), "v", "t", "id", size, 7)
+
+    with pytest.raises(RuntimeError, match="make up"):
+        split([(str(i), "a", f"t{i // 2}") for i in range(6)], 3)
+    with pytest.raises(RuntimeError, match="both parts"):
+        split([("1", "a", "t"), ("2", "a", "u"), *[(f"b{i}", "b", "t" if i < 3 else "w") for i in range(5)]], 3)
+    with pytest.raises(ValueError, match="verdict"):
+        split([("1", None, "t"), ("2", "a", "u")], 1)
+    with pytest.raises(ValueError, match="template"):
+        split([("1", "a", None), ("2", "a", "u")], 1)
+
+
 def test_independence_violations():
     specs = {n: {"purpose": p, "independent": i, "provenance": "x", "count": 3} for n, p, i in (("a", "train", False), ("b", "development", False), ("c", "independent_test", True))}
     full = {n: {"exact": 3, "template": 3} for n in specs}
